@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, html, packing
+from gridloom.llm import chat, html, ngram_join, packing
 from gridloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
@@ -24,6 +28,6 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op5_best_fit_packing, op9_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_ngram_jaccard_join, op5_best_fit_packing, op9_html_extract)}
 
 ORACLES = {"op1_chat_format": chat.ORACLE_SQL}
