@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, html, ngram_join, packing
+from gridloom.llm import chat, html, ngram_join, packing, suffix
 from gridloom.llm.common import table
 
 
@@ -24,10 +24,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_ngram_jaccard_join, op5_best_fit_packing, op9_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_ngram_jaccard_join, op5_best_fit_packing, op6_suffix_dedup, op9_html_extract)}
 
 ORACLES = {"op1_chat_format": chat.ORACLE_SQL}
