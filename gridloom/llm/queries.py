@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, html, ngram_join, packing, suffix
+from gridloom.llm import chat, html, ngram_join, packing, suffix, toxicity
 from gridloom.llm.common import table
 
 
@@ -31,10 +31,18 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), where=fold != 0)
+    rows = toxicity.scored(docs, model)
+    return rows.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_ngram_jaccard_join, op5_best_fit_packing, op6_suffix_dedup, op9_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_ngram_jaccard_join, op5_best_fit_packing, op6_suffix_dedup, op8_toxicity, op9_html_extract)}
 
 ORACLES = {"op1_chat_format": chat.ORACLE_SQL}
