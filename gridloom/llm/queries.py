@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, html, ngram_join, packing, suffix, toxicity
+from gridloom.llm import chat, decontam, html, lines, ngram_join, packing, pii, quality, suffix, toxicity
 from gridloom.llm.common import table
 
 
@@ -16,10 +16,23 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+#: The key of the registered query; a deployment passes its own.
+PII_KEY = "gridloom-demonstration-key"
+
+
+def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.references(docs)).drop("lang")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
@@ -31,6 +44,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -43,6 +60,10 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_ngram_jaccard_join, op5_best_fit_packing, op6_suffix_dedup, op8_toxicity, op9_html_extract)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_pii_feistel, op3_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_suffix_dedup, op7_line_dedup, op8_toxicity, op9_html_extract, op10_benchmark_decontamination)}
 
-ORACLES = {"op1_chat_format": chat.ORACLE_SQL}
+ORACLES = {"op1_chat_format": chat.ORACLE_SQL, "op7_line_dedup": lines.ORACLE_SQL}
