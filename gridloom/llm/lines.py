@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize
+from gridloom.llm.common import free_name, materialize
 
 DEPTH, PARTS, MIN_CONTEXTS, MAX_PERCENT = 3, 4, 10, 50
 
@@ -29,12 +29,6 @@ def generalised(line: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
 
 
-def _free(df: DataFrame, name: str) -> str:
-    while name.lower() in {c.lower() for c in df.columns}:
-        name = f"_{name}"
-    return name
-
-
 def _line_rows(docs: DataFrame, depth: int) -> DataFrame:
     """(uid, line, context, leaf, parts, chars) of the lines that have a token; docs: uid, text."""
     around = lambda x, i: F.struct(x.alias("text"), F.xxhash64(F.get("names", i - 1), F.get("names", i + 1)).alias("context"))
@@ -69,7 +63,7 @@ def template_lines(docs: DataFrame, depth: int = DEPTH, min_contexts: int = MIN_
 
 def drop_templates(docs: DataFrame, depth: int = DEPTH, min_contexts: int = MIN_CONTEXTS, max_percent: int = MAX_PERCENT) -> DataFrame:
     """All columns of ``docs`` with the recurring lines gone from ``text``, and ``n_lines`` and ``n_dropped``."""
-    uid, drop, taken = (_free(docs, n) for n in ("uid", "drop", "taken"))
+    uid, drop, taken = (free_name(docs, n) for n in ("uid", "drop", "taken"))
     keyed = docs.withColumn(uid, F.xxhash64("doc_id", "text"))
     found = template_lines(keyed.select(F.col(uid).alias("uid"), "text"), depth, min_contexts)
     found = found.where(F.col("chars") * 100 <= F.col("all_chars") * max_percent).select(F.col("uid").alias(uid), F.col("drop").alias(drop))
@@ -77,7 +71,7 @@ def drop_templates(docs: DataFrame, depth: int = DEPTH, min_contexts: int = MIN_
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
     joined = keyed.join(found, uid, "left").withColumn(taken, F.coalesce(F.size(drop), F.lit(0)).cast("long"))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    return joined.select(*(F.when(F.col(drop).isNotNull(), kept).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns), n_lines.alias(_free(docs, "n_lines")), F.col(taken).alias(_free(docs, "n_dropped")))
+    return joined.select(*(F.when(F.col(drop).isNotNull(), kept).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns), n_lines.alias(free_name(docs, "n_lines")), F.col(taken).alias(free_name(docs, "n_dropped")))
 
 
 #: Of doc_id, n_lines, n_dropped and text of `drop_templates(documents)` with the parameters above; strings stand for hashes.

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import free_name
+
 DIGITS, HEX, ALNUM = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
 ROUNDS = 8
 
@@ -168,14 +170,12 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs`` with pseudonyms in ``text``, and ``n_found``: how many values were replaced."""
-    name = "n_found"
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name = f"_{name}"
+    name, old, new = (free_name(docs, n) for n in ("n_found", "values", "pseudonyms"))
     text = F.col("text")
     values = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = docs.withColumn("__values", values).withColumn("__new", F.transform("__values", lambda v: pseudonym(v, key)))
+    found = docs.withColumn(old, values).withColumn(new, F.transform(old, lambda v: pseudonym(v, key)))
     gaps = F.split(text, PATTERN, -1)
-    new = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("__new")), "__new", lambda g, v: F.concat(g, v)), ""), F.element_at(gaps, -1))
-    changed = F.when(F.size("__values") > 0, new).otherwise(text)
-    count = F.size(F.filter(F.zip_with("__values", "__new", lambda a, b: a != b), lambda x: x)).cast("long")
+    joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(new)), new, lambda g, v: F.concat(g, v)), ""), F.element_at(gaps, -1))
+    changed = F.when(F.size(old) > 0, joined).otherwise(text)
+    count = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)).cast("long")
     return found.select(*(changed.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.coalesce(count, F.lit(0)).alias(name))

@@ -67,3 +67,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_pii_feistel, op3_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_suffix_dedup, op7_line_dedup, op8_toxicity, op9_html_extract, op10_benchmark_decontamination)}
 
 ORACLES = {"op1_chat_format": chat.ORACLE_SQL, "op7_line_dedup": lines.ORACLE_SQL}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import gram_hashes, mix, slices, span_hashes, text_buffer, with_fields, word_spans
+from gridloom.llm.common import free_name, gram_hashes, mix, slices, span_hashes, text_buffer, with_fields, word_spans
 
 BITS, MAX_ROWS, EPOCHS, STEMS = 20, 10_000, 4, (4, 6, 8)
 #: L1 is L1_RATE times the root of the number of training rows, as the noise in a coordinate's gradient sum is.
@@ -95,10 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, where: C
 
 
 def scored(docs: DataFrame, model: dict | None) -> DataFrame:
-    """All columns of ``docs`` and a column ``score`` between 0 and 1."""
-    name = "score"
-    while name in docs.columns:
-        name = f"_{name}"
+    """All columns of ``docs`` and a last one, ``score``, between 0 and 1; if that name is taken, with underscores before it."""
+    name = free_name(docs, "score")
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
