@@ -2,5 +2,485 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import rules
+from gridloom.operators import catalog, classify, grids, images, layout
+from gridloom.plans.oracle import ORACLES as _SQL
+from gridloom.sources import tables as src
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = _SQL
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _show(cells: Column) -> Column:
+    return F.array_join(F.transform(cells, lambda row: F.array_join(row, "|", "~")), "\n")
+
+
+def _keyed(df: DataFrame, *more: Column) -> DataFrame:
+    return df.select("doc_id", "page_number", "method", *more)
+
+
+def _grid(df: DataFrame, *more: Column) -> DataFrame:
+    return _keyed(df, *more, _show(F.col("cells")).alias("grid"))
+
+
+def f1(spark: SparkSession, d: str) -> DataFrame:
+    return src.order_grids(src.read(spark, d, "lineitem"))
+
+
+def f2(spark: SparkSession, d: str) -> DataFrame:
+    return src.pipe_grids(src.read(spark, d, "documents"))
+
+
+def f3(spark: SparkSession, d: str) -> DataFrame:
+    return src.line_grids(src.read(spark, d, "documents"))
+
+
+def f4(spark: SparkSession, d: str) -> DataFrame:
+    return src.nav_grids(src.read(spark, d, "pages"))
+
+
+def f5(spark: SparkSession, d: str) -> DataFrame:
+    return src.vocabulary_grids(src.read(spark, d, "orders"))
+
+
+def f6(spark: SparkSession, d: str) -> DataFrame:
+    return src.synthetic_images(src.read(spark, d, "embeddings"))
+
+
+def f7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pages = src.read(spark, d, "pages")
+    return src.text_blocks(pages), src.image_boxes(pages)
+
+
+def f8(spark: SparkSession, d: str) -> DataFrame:
+    return src.csv_files(f1(spark, d))
+
+
+def two_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Order grids, a third of them found by a second method as well."""
+    first = f1(spark, d)
+    again = first.where("doc_id % 3 = 0").withColumn("method", F.lit("stream")).withColumn("method_rank", F.lit(3))
+    return first.unionByName(again)
+
+
+def cataloged(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.catalog(two_methods(spark, d))
+
+
+def typed_images(spark: SparkSession, d: str) -> DataFrame:
+    """Classified with edge density 0, which SQL can follow; `img_edge_density` has the measured one."""
+    return classify.classify_images(f6(spark, d).withColumn("edge_density", F.lit(0.0)), F.col("vector_count"))
+
+
+@query
+def src_order_grid(spark, d):
+    return _grid(f1(spark, d))
+
+
+@query
+def src_pipe_grid(spark, d):
+    return _grid(f2(spark, d))
+
+
+@query
+def src_line_grid(spark, d):
+    return _keyed(f3(spark, d), F.md5(_show(F.col("cells"))).alias("grid_md5"))
+
+
+@query
+def src_nav_grid(spark, d):
+    return _grid(f4(spark, d))
+
+
+@query
+def method_union(spark, d):
+    every = f1(spark, d).unionByName(f2(spark, d)).unionByName(f3(spark, d)).unionByName(f4(spark, d))
+    return every.groupBy("method").agg(F.count("*").alias("n_grids"), F.sum(F.size("cells")).alias("n_rows"), F.sum(F.size(F.flatten("cells"))).alias("n_cells"))
+
+
+@query
+def clean_cells(spark, d):
+    return _grid(grids.clean_cells(f1(spark, d)))
+
+
+@query
+def drop_empty_rows(spark, d):
+    return _keyed(grids.clean(f3(spark, d)), F.size("cells").alias("n_rows"), F.md5(_show(F.col("cells"))).alias("grid_md5"))
+
+
+@query
+def pad_rows(spark, d):
+    return _grid(grids.pad_rows(grids.clean(f1(spark, d))))
+
+
+@query
+def promote_header(spark, d):
+    return _grid(grids.promote_header(grids.clean(f1(spark, d))), F.array_join("header", "|").alias("header"))
+
+
+@query
+def table_text(spark, d):
+    return _keyed(grids.with_text(grids.clean(f5(spark, d))), F.col("table_text"), F.col("header_text"))
+
+
+@query
+def valid_grid(spark, d):
+    return grids.valid(f3(spark, d).unionByName(f2(spark, d))).select("doc_id", "method", F.size("cells").alias("n_rows"))
+
+
+@query
+def page_slice(spark, d):
+    return grids.page_slice(f1(spark, d), start=2, most=5).select("doc_id", "page_number", F.size("cells").alias("n_rows"))
+
+
+def _metric(fixture, name: str, f) -> None:
+    def run(spark, d):
+        return grids.clean(fixture(spark, d)).select("doc_id", F.round(f(F.col("cells")).cast("double"), 6).alias(name))
+
+    QUERIES["q_size" if name == "size_appropriateness" else f"q_{name}"] = run
+
+
+for _name, _fixture in (("completeness", f1), ("consistency", f3), ("structure", f1), ("data_types", f1), ("size_appropriateness", f3)):
+    _metric(_fixture, _name, grids.METRICS[_name][0])
+
+
+@query
+def table_quality(spark, d):
+    return grids.with_quality(grids.clean(grids.valid(f5(spark, d)))).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
+
+
+@query
+def quality_filter(spark, d):
+    scored = grids.with_quality(grids.clean(grids.valid(f1(spark, d))))
+    return grids.quality_filter(scored, 0.85).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
+
+
+@query
+def quality_band(spark, d):
+    return catalog.histogram(grids.with_quality(grids.clean(f1(spark, d))), grids.quality_band(F.col("quality_score")), "band")
+
+
+@query
+def class_scores(spark, d):
+    scores = classify.class_scores(grids.clean(f5(spark, d)))
+    return scores.select("doc_id", *(F.col("scores")[i]["score"].alias(k) for i, k in enumerate(rules.TABLE_TYPES)))
+
+
+@query
+def classify_table(spark, d):
+    return classify.classify_tables(grids.clean(f5(spark, d))).select("doc_id", "table_type")
+
+
+@query
+def table_facets(spark, d):
+    found = classify.table_facets(classify.classify_tables(grids.clean(f5(spark, d))))
+    return found.select("doc_id", "table_type", "currency", F.array_join("units", ",").alias("units"), "fiscal_period", F.array_join("tickers", ",").alias("tickers"))
+
+
+def _facet(name: str, **columns) -> None:
+    def run(spark, d):
+        texts = grids.clean(f5(spark, d)).select("doc_id", grids.joined_text(F.col("cells")).alias("text"))
+        return texts.select("doc_id", *(f(F.col("text")).alias(k) for k, f in columns.items()))
+
+    QUERIES[name] = run
+
+
+_facet("facet_currency", currency=classify.currency)
+_facet("facet_units", units=lambda t: F.array_join(classify.units(t), ","))
+_facet("facet_fiscal", fiscal_period=classify.fiscal_period)
+_facet("facet_tickers", tickers=lambda t: F.array_join(classify.tickers(t), ","))
+_facet("facet_stats", has_p_values=classify.has_p_values, has_confidence_intervals=classify.has_intervals)
+
+
+@query
+def numeric_pct(spark, d):
+    return cataloged(spark, d).select("doc_id", "table_index", F.round("numeric_percentage", 6).alias("numeric_percentage"))
+
+
+@query
+def empty_pct(spark, d):
+    return cataloged(spark, d).select("doc_id", "table_index", F.round("empty_cell_percentage", 6).alias("empty_cell_percentage"))
+
+
+@query
+def table_index(spark, d):
+    return grids.table_index(two_methods(spark, d)).select("doc_id", "page_number", "method", "table_index")
+
+
+@query
+def dedup_grids(spark, d):
+    return cataloged(spark, d).select("doc_id", "page_number", "table_index", "method")
+
+
+@query
+def table_filename(spark, d):
+    return cataloged(spark, d).select("doc_id", "filename")
+
+
+@query
+def table_catalog(spark, d):
+    rounded = ("quality_score", "numeric_percentage", "empty_cell_percentage")
+    return cataloged(spark, d).withColumns({c: F.round(c, 6) for c in rounded})
+
+
+@query
+def type_histogram(spark, d):
+    return cataloged(spark, d).groupBy("table_type").agg(F.count("*").alias("n"), F.round(F.avg("quality_score"), 6).alias("avg_quality"))
+
+
+@query
+def quality_histogram(spark, d):
+    return catalog.histogram(cataloged(spark, d), grids.quality_band(F.col("quality_score")), "band")
+
+
+@query
+def method_histogram(spark, d):
+    return catalog.histogram(grids.valid(two_methods(spark, d)), "method", "method")
+
+
+@query
+def doc_stats(spark, d):
+    return catalog.doc_stats(cataloged(spark, d))
+
+
+@query
+def topk_tables(spark, d):
+    return catalog.largest(cataloged(spark, d)).select("doc_id", "page_number", "table_index", "size_bytes")
+
+
+@query
+def limit_items(spark, d):
+    return catalog.limit_items(cataloged(spark, d), 25, "doc_id", "page_number", "table_index").select("doc_id", "table_index", "filename")
+
+
+@query
+def verify_files(spark, d):
+    return catalog.verify_files(f8(spark, d))
+
+
+@query
+def verify_missing(spark, d):
+    files = f8(spark, d)
+    return catalog.missing_files(files, files.where("on_disk"))
+
+
+@query
+def verify_summary(spark, d):
+    files = f8(spark, d)
+    issues = catalog.verify_files(files).select("severity", "issue").unionByName(catalog.missing_files(files, files.where("on_disk")).select("severity", "issue"))
+    return issues.groupBy("severity", "issue").agg(F.count("*").alias("n"))
+
+
+@query
+def verify_images(spark, d):
+    return f6(spark, d).where("width < 10 or height < 10").select("doc_id", "width", "height", F.lit("too_small").alias("issue"), F.lit("warning").alias("severity"))
+
+
+@query
+def csv_roundtrip(spark, d):
+    """Cells joined to lines and cut again; ``same`` says whether the grid came back."""
+    padded = grids.pad_rows(grids.clean(f1(spark, d)))
+    back = F.transform(F.split(F.array_join(F.transform("cells", lambda row: F.array_join(row, ",")), "\n"), "\n"), lambda x: F.split(x, ",", -1))
+    return padded.select("doc_id", F.size("cells").alias("n_rows"), (back == F.col("cells")).alias("same"))
+
+
+@query
+def package_tables(spark, d):
+    return catalog.package_files(f8(spark, d).where("on_disk")).withColumn("content_md5", F.md5("content")).drop("content")
+
+
+@query
+def package_semi_join(spark, d):
+    files = f8(spark, d)
+    return files.join(files.where("on_disk").select("name"), "name", "left_semi").select("name")
+
+
+@query
+def package_images(spark, d):
+    typed = typed_images(spark, d)
+    first = typed.orderBy("doc_id").limit(50).select("doc_id", F.lit(True).alias("within"))
+    return typed.join(F.broadcast(first), "doc_id", "left").select(
+        "doc_id", F.col("page_number").alias("page"), F.col("image_index").alias("index"), "image_type", "width", "height", (F.col("text") != "").alias("has_text"), F.col("text").alias("text_content"), "vector_count",
+        F.coalesce("within", F.lit(False)).alias("within_limit"),
+    )
+
+
+@query
+def public_url(spark, d):
+    name = F.concat(F.lit("20240101_000000_"), F.col("name"))
+    return f8(spark, d).where("on_disk").select("name", catalog.public_url(F.lit("https://store.example/"), F.lit("files"), name).alias("url"))
+
+
+@query
+def base64_fallback(spark, d):
+    return f8(spark, d).where("on_disk").select("name", catalog.base64_fallback(F.col("doc_id") % 2 == 0, F.col("content")).alias("content_base64"))
+
+
+@query
+def envelope(spark, d):
+    return catalog.envelope(cataloged(spark, d), f6(spark, d))
+
+
+@query
+def metadata_doc(spark, d):
+    return catalog.metadata_document(cataloged(spark, d))
+
+
+@query
+def blocks_scan(spark, d):
+    return f7(spark, d)[0]
+
+
+@query
+def caption_join(spark, d):
+    return layout.captions(*f7(spark, d))
+
+
+@query
+def surrounding_text(spark, d):
+    return layout.surrounding_text(*f7(spark, d)).withColumn("surrounding_text", F.array_join("surrounding_text", "|"))
+
+
+@query
+def page_title(spark, d):
+    return layout.page_titles(f7(spark, d)[0])
+
+
+@query
+def page_preview(spark, d):
+    return layout.page_previews(layout.page_texts(f7(spark, d)[0]))
+
+
+@query
+def exhibits(spark, d):
+    return layout.exhibits(f6(spark, d)).withColumn("exhibits_mentioned", F.array_join("exhibits_mentioned", ","))
+
+
+@query
+def img_scan(spark, d):
+    """Pixels as the image struct's bytes and back."""
+    packed = f6(spark, d).select("doc_id", F.unhex(F.array_join(F.transform("pixels", lambda p: F.lpad(F.hex(p), 2, "0")), "")).alias("data"))
+    return packed.select("doc_id", F.octet_length("data").alias("n_pixels"), F.crc32("data").alias("crc"))
+
+
+@query
+def img_geometry(spark, d):
+    return f6(spark, d).select("doc_id", "width", "height", F.round(images.aspect_ratio(F.col("width"), F.col("height")), 6).alias("aspect_ratio"))
+
+
+@query
+def img_size_filter(spark, d):
+    return images.size_filter(f6(spark, d)).select("doc_id", "width", "height")
+
+
+@query
+def img_quality_filter(spark, d):
+    return images.quality_filter(images.with_quality(f6(spark, d)), 0.5).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
+
+
+@query
+def vector_page_filter(spark, d):
+    return images.vector_pages(f6(spark, d)).select("doc_id", "page_number", "vector_count")
+
+
+@query
+def image_union(spark, d):
+    every = f6(spark, d)
+    embedded = images.size_filter(every).select("doc_id", F.lit("embedded").alias("method"), "image_index", F.lit(None).cast("int").alias("vector_count"))
+    return embedded.unionByName(images.vector_pages(every).select("doc_id", F.lit("vector_render").alias("method"), F.lit(1).alias("image_index"), "vector_count"))
+
+
+@query
+def image_filename(spark, d):
+    method = F.when(F.col("vector_count") >= 10, "vector_render").otherwise("embedded")
+    return typed_images(spark, d).select("doc_id", images.image_filename(F.col("page_number"), method, F.col("image_index"), F.col("image_type")).alias("filename"))
+
+
+@query
+def ocr_coalesce(spark, d):
+    first, second = F.when(F.col("doc_id") % 2 == 0, F.col("text")), F.when(F.col("doc_id") % 3 == 0, "second")
+    return f6(spark, d).select("doc_id", images.ocr_text(first, second).alias("ocr_text"))
+
+
+def _image_metric(name: str, f) -> None:
+    def run(spark, d):
+        return f6(spark, d).select("doc_id", F.round(f(), 6).alias(name))
+
+    QUERIES[f"img_{name}"] = run
+
+
+_image_metric("resolution", lambda: images.resolution(F.col("width"), F.col("height")))
+_image_metric("contrast", lambda: images.contrast(F.col("pixels")))
+_image_metric("brightness", lambda: images.brightness(F.col("pixels")))
+_image_metric("sharpness", lambda: images.sharpness(F.col("pixels")))
+_image_metric("noise", lambda: images.noise("pixels"))
+_image_metric("edge_density", lambda: images.edge_density("pixels"))
+
+
+@query
+def img_quality(spark, d):
+    return images.with_quality(f6(spark, d)).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
+
+
+@query
+def img_gridlines(spark, d):
+    rows, columns = images.grid_lines(images.straight_runs(F.col("pixels"), dark=200))
+    return f6(spark, d).select("doc_id", rows.alias("estimated_rows"), columns.alias("estimated_columns"))
+
+
+@query
+def classify_image(spark, d):
+    return typed_images(spark, d).select("doc_id", "image_type")
+
+
+@query
+def facet_chart(spark, d):
+    t = F.col("text")
+    return typed_images(spark, d).where("image_type = 'chart'").select(
+        "doc_id", classify.first_of(t, rules.CHARTS, "unknown").alias("chart_type"), classify.exhibit_number(t).alias("exhibit_number"), F.array_join(classify.centuries(t), ",").alias("years_referenced")
+    )
+
+
+@query
+def facet_diagram(spark, d):
+    return typed_images(spark, d).where("image_type = 'diagram'").select("doc_id", classify.first_of(F.col("text"), rules.DIAGRAMS, "general_diagram").alias("diagram_type"))
+
+
+@query
+def facet_scientific(spark, d):
+    t = F.col("text")
+    return typed_images(spark, d).where("image_type = 'scientific_figure'").select("doc_id", classify.first_of(t, rules.FIGURES, "general_scientific").alias("figure_type"), classify.scale(t).alias("scale"))
+
+
+@query
+def image_stats(spark, d):
+    return f6(spark, d).agg(
+        F.count_if((F.col("width") >= 100) & (F.col("height") >= 100)).alias("embedded_images"), F.count_if(F.col("vector_count") >= 10).alias("vector_images"), F.count_distinct("page_number").alias("pages_with_images")
+    )
+
+
+@query
+def ocr_rate(spark, d):
+    return f6(spark, d).agg(F.round(F.coalesce(F.avg((F.trim("text") != "").cast("double")), F.lit(0.0)), 6).alias("ocr_rate"))
+
+
+@query
+def enhance_brightness(spark, d):
+    return f6(spark, d).select("doc_id", F.array_join(images.lit_up(F.col("pixels")).cast("array<string>"), ",").alias("pixels"))
+
+
+@query
+def enhance_line_art(spark, d):
+    out = f6(spark, d).select("doc_id", images.line_art("pixels").alias("p"))
+    return out.select("doc_id", F.size("p").alias("n_pixels"), F.round(F.array_min("p"), 6).alias("least"), F.round(F.array_max("p"), 6).alias("most"))
