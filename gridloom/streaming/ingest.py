@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 def ingest_files(spark: SparkSession, source: str, sink: str, checkpoint: str, plan: Callable[[DataFrame], DataFrame], glob: str = "*") -> StreamingQuery:
     """Run ``plan`` over the new files of ``source`` and append its rows to ``sink`` as Parquet; ends when what is there has been read."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(source)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", glob).load(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         plan(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
