@@ -260,6 +260,10 @@ ORACLES = {
     "facet_chart": with_(IMAGE_TYPED + f"select doc_id, {choose(rules.CHARTS, 'unknown')} as chart_type, nullif(regexp_extract(lower(text), 'exhibit\\s*([0-9]+)', 1), '') as exhibit_number, array_to_string(regexp_extract_all(text, '\\b(19|20)[0-9]{{2}}\\b', 1), ',') as years_referenced from image_typed where image_type = 'chart'", "f6"),
     "facet_diagram": with_(IMAGE_TYPED + f"select doc_id, {choose(rules.DIAGRAMS, 'general_diagram')} as diagram_type from image_typed where image_type = 'diagram'", "f6"),
     "facet_scientific": with_(IMAGE_TYPED + f"select doc_id, {choose(rules.FIGURES, 'general_scientific')} as figure_type, nullif(regexp_extract(text, {q(rules.SCALE)}, 0), '') as scale from image_typed where image_type = 'scientific_figure'", "f6"),
+    "csv_roundtrip": with_(cleaned("f1") + " select doc_id, len(cells) as n_rows, true as same from c", "f1"),
+    "img_scan": with_(" select doc_id, len(pixels) as n_pixels, md5(array_to_string(list_transform(pixels, lambda p: printf('%02X', p)), '')) as pixels_md5 from f6", "f6"),
+    "img_gridlines": with_(" select doc_id, len(list_filter(range(8), lambda r: list_max(list_transform(range(8), lambda c: pixels[r * 8 + c + 1])) < 200)) as estimated_rows,"
+                           " len(list_filter(range(8), lambda c: list_max(list_transform(range(8), lambda r: pixels[r * 8 + c + 1])) < 200)) as estimated_columns from f6", "f6"),
     "image_stats": with_(" select count(*) filter (width >= 100 and height >= 100) as embedded_images, count(*) filter (vector_count >= 10) as vector_images, count(distinct page_number) as pages_with_images from f6", "f6"),
     "ocr_rate": with_(" select round(coalesce(avg(case when trim(text, ' ') <> '' then 1.0 else 0.0 end), 0), 6) as ocr_rate from f6", "f6"),
     "enhance_brightness": with_(f" select doc_id, array_to_string(list_transform(pixels, lambda p: case when {MEAN} < 100 then least(255, cast(floor(p * 1.2e0) as int)) when {MEAN} > 155 then least(255, cast(floor(p * 0.8e0) as int)) else p end), ',') as pixels from f6", "f6"),
