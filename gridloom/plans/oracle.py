@@ -249,7 +249,7 @@ ORACLES = {
     "img_geometry": with_(f" select doc_id, width, height, round({ASPECT}, 6) as aspect_ratio from f6", "f6"),
     "img_size_filter": with_(" select doc_id, width, height from f6 where width >= 100 and height >= 100", "f6"),
     "vector_page_filter": with_(" select doc_id, page_number, vector_count from f6 where vector_count >= 10", "f6"),
-    "image_union": with_(" select doc_id, 'embedded' as method, image_index, cast(null as int) as vector_count from f6 where width >= 100 and height >= 100 union all select doc_id, 'vector_render', 1, vector_count from f6 where vector_count >= 10", "f6"),
+    "image_union": with_(" select doc_id, 'embedded' as method, image_index, cast(null as varchar) as vector_count from f6 where width >= 100 and height >= 100 union all select doc_id, 'vector_render', 1, cast(vector_count as varchar) from f6 where vector_count >= 10", "f6"),
     "image_filename": with_(IMAGE_TYPED + "select doc_id, case when vector_count >= 10 then 'page_' || page_number || '_vector_' || image_type || '.png' else 'page_' || page_number || '_img_' || image_index || '_' || image_type || '.png' end as filename from image_typed", "f6"),
     "ocr_coalesce": with_(" select doc_id, case when doc_id % 2 = 0 and trim(text, ' ') <> '' then trim(text, ' ') when doc_id % 3 = 0 then 'second' else '' end as ocr_text from f6", "f6"),
     "img_resolution": with_(f" select doc_id, cast({RESOLUTION} as double) as resolution from f6", "f6"),

@@ -397,8 +397,8 @@ def vector_page_filter(spark, d):
 @query
 def image_union(spark, d):
     every = f6(spark, d)
-    embedded = images.size_filter(every).select("doc_id", F.lit("embedded").alias("method"), "image_index", F.lit(None).cast("int").alias("vector_count"))
-    return embedded.unionByName(images.vector_pages(every).select("doc_id", F.lit("vector_render").alias("method"), F.lit(1).alias("image_index"), "vector_count"))
+    embedded = images.size_filter(every).select("doc_id", F.lit("embedded").alias("method"), "image_index", F.lit(None).cast("string").alias("vector_count"))
+    return embedded.unionByName(images.vector_pages(every).select("doc_id", F.lit("vector_render").alias("method"), F.lit(1).alias("image_index"), F.col("vector_count").cast("string").alias("vector_count")))
 
 
 @query
