@@ -5,7 +5,7 @@ permutation of the values of their format: an alternating Feistel network over t
 of the key, the kind, the round and the other half. Check digits are computed anew, and dates walk the cycle until they are dates, so a
 pseudonym is valid where its value was. Equal values get equal pseudonyms in all documents, and different ones different pseudonyms.
 
-Kinds: e-mail local parts and their host names' first labels, IPv4 addresses, phone numbers, payment cards, IBANs, social security numbers,
+Kinds: e-mail local parts, IPv4 addresses, phone numbers, payment cards, IBANs, social security numbers,
 dates (year-month-day, and day and month in either order before the year), and hexadecimal secrets of 32, 40 or 64 characters.
 
 Defined cases: null text stays null with nothing found; what fails its validation stays; repeated rows get equal pseudonyms; an empty table
