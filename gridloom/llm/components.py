@@ -27,9 +27,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) of each node a that isn't the smallest of its component, and that smallest node b; ``edges`` has long columns a and b."""
-    now, before = materialize(edges.where("a <> b").select("a", "b").distinct()), None
-    while True:
-        mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if not mark[0] or mark == before:
-            return now
-        before, now = mark, materialize(_small_star(_large_star(now).distinct()))
+    now = materialize(edges.where("a <> b").select("a", "b").distinct())
+    while not now.isEmpty():
+        now = materialize(_small_star(_large_star(now).distinct()))
+        n, children = now.agg(F.count("*"), F.count_distinct("a")).first()
+        if n == children and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            break  # every edge leads from a node to a root: stars
+    return now
