@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, lines, ngram_join, packing, toxicity
-from gridloom.llm.common import materialize, table
+from gridloom.llm.common import free_name, materialize, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, stays of each group of near duplicates."""
+    """One document, that of the smallest id, stays of each group of near duplicates; of equal rows one stays."""
     found = ngram_join.jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = free_name(docs, "text_hash")
+    gone = found.where("doc_id <> component_id").select("doc_id", F.col("text_hash").alias(key)).distinct()
+    kept = docs.withColumn(key, F.xxhash64("text")).join(gone, ["doc_id", key], "left_anti")
+    if not found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        kept = kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", key]))
+    return kept.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@
 2. Documents with equal shingle sets collapse into classes, and classes with equal prefixes and sizes into groups.
 3. Two sets with Jaccard >= t share a shingle of their prefixes (the first n - ceil(t n) + 1 shingles). In a few cheap rounds, each
    group is compared with one group that shares the most prefix shingles and is in another component so far; a last round takes
-   *every* remaining pair of groups in different components that share a prefix shingle and pass the overlap bound, expands it to
-   members and verifies them on whole sets. Only pairs whose members are already connected are left out, so components are exact,
+   *every* remaining pair of groups in different components that share a prefix shingle and pass the position and overlap bounds, expands
+   it to members and verifies them on whole sets. Only pairs whose members are already connected are left out, so components are exact,
    while a large group of near copies costs about one verification a member and not one a pair.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing; a text with under n words has one shingle, the
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import as_list, gram_hashes, materialize, mix, signed, slices, span_hashes, text_buffer, word_spans
 from gridloom.llm.components import components
 
-SKETCH_BITS, SKETCH_BLOCKS, CHEAP_ROUNDS, BROADCAST_IDS = 23, 64, 3, 2_000_000
+SKETCH_BITS, SKETCH_BLOCKS, CHEAP_ROUNDS, BROADCAST_IDS = 23, 64, 2, 2_000_000
 
 _A, _B, _C = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -86,7 +86,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def rows(batches):
         level = np.frombuffer(shared.value, np.uint8).astype(np.uint64)
         for batch in slices(batches, "text"):
-            sets = shingle_sets(*text_buffer(batch.column(1)), n)
+            sets = shingle_sets(*text_buffer(batch.column("text")), n)
             sizes, names, prefixes = np.array([len(s) for s in sets], np.int64), np.zeros((4, len(sets)), np.uint64), []
             for i, s in enumerate(sets):
                 h = mix(s ^ _C)
@@ -96,11 +96,11 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 prefixes.append(prefix)
             flat = signed(np.concatenate(prefixes)) if prefixes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), *(pa.array(signed(x)) for x in names), as_list(flat, np.array([len(p) for p in prefixes], np.int64), pa.int64())],
-                names=["doc_id", "n", "s1", "s2", "p1", "p2", "prefix"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), *(pa.array(signed(x)) for x in names), as_list(flat, np.array([len(p) for p in prefixes], np.int64), pa.int64())],
+                names=["doc_id", "text_hash", "n", "s1", "s2", "p1", "p2", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(rows, "doc_id long, text_hash long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -152,28 +152,38 @@ def _likely_pairs(shared: DataFrame, comps: DataFrame, percent: int, seed: int)
     return best.select(F.col("gid").alias("a"), F.col("best.partner").alias("b"))
 
 
-def _remaining_pairs(shared: DataFrame, members: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Every pair of members in different components whose groups share a prefix shingle and can still reach the similarity."""
+def _remaining_pairs(shared: DataFrame, members: DataFrame, prefixes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Every pair of members in different components whose groups can still reach the similarity.
+
+    Such groups share a prefix shingle, and from the first one on both have at least as many shingles left as must be common; so a pair is
+    joined only on shingles early enough in both prefixes for that, and its whole prefixes must leave the overlap within reach."""
     labels = materialize(_labelled(members.select("rep", "gid"), comps, "rep"))
     rows = shared.join(labels.select("gid", "comp").distinct(), "gid")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     rows = materialize(rows.join(mixed, "token"))
-    x, y = (rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("gid", "comp", "n"))) for k in "xy")
+    x, y = (rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("gid", "comp", "n", "pos"))) for k in "xy")
     sizes = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("comp_x") < F.col("comp_y"))
-    counts = x.join(y, "token").where(sizes).groupBy("gid_x", "comp_x", "n_x", "gid_y", "comp_y", "n_y").agg(F.count("*").alias("c"))
+    need = (F.col("n_x") + F.col("n_y")) * percent
+    early = (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) * (100 + percent)) >= need
+    pairs = materialize(x.join(y, "token").where(sizes & early).select("gid_x", "comp_x", "n_x", "gid_y", "comp_y", "n_y").distinct())
+    left, right = (prefixes.select(F.col("gid").alias(f"gid_{k}"), F.col("prefix").alias(f"prefix_{k}")) for k in "xy")
+    both = F.size(F.array_intersect("prefix_x", "prefix_y"))
     rest = lambda n: F.col(n) - _prefix_length(F.col(n), percent)
-    fit = counts.where((F.col("c") + F.greatest(rest("n_x"), rest("n_y"))) * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
+    groups = pairs.select("gid_x", "n_x", "gid_y", "n_y").distinct().join(left, "gid_x").join(right, "gid_y")
+    fit = groups.where((both + F.greatest(rest("n_x"), rest("n_y"))) * (100 + percent) >= need).select("gid_x", "gid_y")
     a, b = (labels.select(F.col("rep").alias(end), F.col("gid").alias(f"gid_{k}"), F.col("comp").alias(f"comp_{k}")) for end, k in (("a", "x"), ("b", "y")))
-    return fit.join(a, ["gid_x", "comp_x"]).join(b, ["gid_y", "comp_y"]).select("a", "b")
+    return pairs.join(fit, ["gid_x", "gid_y"]).join(a, ["gid_x", "comp_x"]).join(b, ["gid_y", "comp_y"]).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text); links join sets with 100 * intersection >= percent * union."""
+    """(doc_id, n_shingles, component_id, text_hash) of each row of ``docs`` (doc_id, text); links join sets with 100 * intersection >= percent * union.
+
+    text_hash is Spark's xxhash64 of the text; it tells rows with equal ids apart."""
     rows = materialize(_prefixes(docs, n, percent))
     named = rows.where("n > 0 and doc_id is not null")
     classes = materialize(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("p1").alias("p1"), F.first("p2").alias("p2")))
     groups = named.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), (F.min("s1") < F.max("s1")).alias("several"))
-    index = groups.select("gid", "n", "several", F.explode("prefix").alias("token"))
+    index = groups.select("gid", "n", "several", F.posexplode("prefix").alias("pos", "token"))
     frequent = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     shared = materialize(index.where("several").union(index.where("not several").join(frequent, "token").select(*index.columns)).drop("several"))
     members = materialize(classes.join(classes.groupBy("p1", "p2", "n").agg(F.min("rep").alias("gid")), ["p1", "p2", "n"]).select("rep", "gid"))
@@ -185,11 +195,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             break
         comps = components(comps.union(found))
     whole = members.join(shared.select("gid").distinct(), "gid", "left_semi")
-    last = _verified(docs, _remaining_pairs(shared, whole, comps, percent), classes, n, percent)
+    some = groups.select("gid", "prefix").join(whole.select("gid").distinct(), "gid", "left_semi")
+    last = _verified(docs, _remaining_pairs(shared, whole, some, comps, percent), classes, n, percent)
     if not last.isEmpty():
         comps = components(comps.union(last))
 
     labels = _labelled(classes.select("s1", "s2", "n", "rep"), comps, "rep").drop("rep")
-    return rows.select("doc_id", "n", "s1", "s2").join(labels, ["s1", "s2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id")
+    return rows.select("doc_id", "text_hash", "n", "s1", "s2").join(labels, ["s1", "s2", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"), "text_hash"
     )
