@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy pass handles; bounds the temporaries of a Python worker.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _MIX1, _MIX2, _GAMMA = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,6 +97,15 @@ def slices(batches, column: str, max_bytes: int = CHUNK_BYTES):
             stop = max(start + 1, int(np.searchsorted(size, base + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps idle workers, and a later stage's workers need the room."""
+    _TABLES.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 @lru_cache(maxsize=2)

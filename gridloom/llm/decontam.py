@@ -19,6 +19,8 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridloom.llm.common import release
+
 PERCENT, MIN_CHARS, BLOCK_ITEMS = 5, 40, 2000
 
 
@@ -128,6 +130,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, mi
                 rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in items.matches(normal(t.as_py()))]
                 cols = zip(*rows, strict=True) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "distance", "end"])
+            release()
 
         return docs.select("doc_id", "text").mapInArrow(found, schema)
 
@@ -143,6 +146,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
             items = Items(*shared.value)
             for batch in batches:
                 yield batch.filter(pa.array([not items.matches(normal(t.as_py())) for t in batch.column("text")], pa.bool_()))
+            release()
 
         return frame.mapInArrow(clean, frame.schema)
 

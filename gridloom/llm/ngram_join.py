@@ -84,13 +84,13 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_order_levels(docs, n))
 
     def rows(batches):
-        level = np.frombuffer(shared.value, np.uint8).astype(np.uint64)
+        level = np.frombuffer(shared.value, np.uint8)
         for batch in slices(batches, "text"):
             sets = shingle_sets(*text_buffer(batch.column("text")), n)
             sizes, names, prefixes = np.array([len(s) for s in sets], np.int64), np.zeros((4, len(sets)), np.uint64), []
             for i, s in enumerate(sets):
                 h = mix(s ^ _C)
-                key = level[h >> np.uint64(64 - SKETCH_BITS)] << np.uint64(56) | mix(s ^ _A) >> np.uint64(8)
+                key = level[h >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56) | mix(s ^ _A) >> np.uint64(8)
                 prefix = s[np.argsort(key, kind="stable")[: len(s) - (percent * len(s) + 99) // 100 + 1]] if len(s) else s
                 names[:, i] = mix(s ^ _A).sum(dtype=np.uint64), mix(s ^ _B).sum(dtype=np.uint64), mix(prefix ^ _A).sum(dtype=np.uint64), mix(prefix ^ _B).sum(dtype=np.uint64)
                 prefixes.append(prefix)

@@ -21,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, slices, span_hashes, text_buffer, with_fields, word_spans
+from gridloom.llm.common import materialize, release, slices, span_hashes, text_buffer, with_fields, word_spans
 
 CAPACITY, SLACK, GROUP_ITEMS = 2048, 8, 50_000
 
 #: Distinct words that a worker remembers; beyond this it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 class WordEncoder:
@@ -161,6 +161,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, group_
                 yield from packed()
         if n:
             yield from packed()
+        release()
 
     placed = materialize(pieces.mapInArrow(local, schema))
     items = placed.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < capacity - slack)

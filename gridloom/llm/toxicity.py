@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import free_name, gram_hashes, mix, slices, span_hashes, text_buffer, with_fields, word_spans
+from gridloom.llm.common import free_name, gram_hashes, mix, release, slices, span_hashes, text_buffer, with_fields, word_spans
 
 BITS, MAX_ROWS, EPOCHS, STEMS = 20, 10_000, 4, (4, 6, 8)
 #: L1 is L1_RATE times the root of the number of training rows, as the noise in a coordinate's gradient sum is.
@@ -54,7 +54,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs
 
     for _ in range(epochs):
         for i in rng.permutation(len(features)).tolist():
-            at = np.append(features[i], size)
+            at = np.append(features[i].astype(np.int64), size)
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
@@ -83,11 +83,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, where: C
             ids += pdf["doc_id"].tolist()
             truth += pdf["toxic"].tolist()
             features += [np.frombuffer(x, "<u4") for x in pdf["slots"]]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], features[i].tobytes()))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], len(features[i]), int(features[i].sum(dtype=np.uint64))))  # no copies of what may be all of a worker's memory
         if order:
-            w, bias = fit([features[i].astype(np.int64) for i in order], np.array([float(truth[i] > 0) for i in order]))
+            w, bias = fit([features[i] for i in order], np.array([float(truth[i] > 0) for i in order]))
             at = np.flatnonzero(w)
+            features.clear()
             yield pd.DataFrame({"slots": [at.astype("<u4").tobytes()], "weights": [w[at].astype("<f8").tobytes()], "bias": [bias]})
+        release()
 
     found = rows.mapInArrow(hashed, "doc_id long, toxic int, slots binary").repartition(1)
     model = found.mapInPandas(fitted, "slots binary, weights binary, bias double").collect()
