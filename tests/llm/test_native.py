@@ -138,3 +138,17 @@ def test_line_templates(spark):
     assert all(by[100 + i].text == copy for i in range(30))
     assert (by[200].text, by[200].n_lines, by[201].text, by[202].text, by[203].text) == (None, 0, "", "\n\n", "short")
     assert lines.drop_templates(df.limit(0)).count() == 0
+
+
+def test_line_templates_count_texts(spark):
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    own = lambda i, k: f"{zlib.crc32(f'{i} {k}'.encode()):x} sentence of its own".translate(letters) + " and with many more words" * 4
+    passage = ["first line of a passage", "second line of that passage", "third line of that passage", "last line of the passage"]
+    docs = [(i, "\n".join([own(i, 0), *passage, own(i, 1), "", "a line between blank ones", "", own(i, 2)])) for i in range(12)]
+    docs += [(100 + i, "\n".join([own(100, 0), "only ever seen in copies", own(100, 1)])) for i in range(30)]
+    found = {r.doc_id: r for r in lines.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(12):
+        assert (found[i].n_dropped, found[i].text) == (5, "\n".join([own(i, 0), own(i, 1), "", "", own(i, 2)]))
+    assert all(found[100 + i].text == docs[12][1] for i in range(30))
+    few = lines.drop_templates(spark.createDataFrame(docs[:9] + docs[12:], "doc_id long, text string"))
+    assert few.where("n_dropped > 0").count() == 0
