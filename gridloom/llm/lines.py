@@ -4,8 +4,8 @@ Each line becomes tokens, those with a digit generalised to ``<*>``. A fixed-dep
 a leaf. Below the leaf the other tokens form ``PARTS`` stretches by position; a template is a leaf with its stretches, and a line with a
 variable field in one stretch still meets the template in the others. A line is dropped if three quarters of its stretches recur
 in at least ``min_texts`` documents with different texts, whatever lines stand around it. Copies of a document are one text, so they don't
-make a template by themselves; near copies are different texts and count one each. A document of which over ``max_percent`` of the characters would go is left whole: it is a
-page of boilerplate, which is for the near-duplicate and quality stages to judge.
+make a template by themselves; near copies are different texts and count one each. Such lines go
+whatever their share of the document; a document left without lines has the empty text and stays a row.
 
 Hot lines are counted with partial aggregates before each shuffle, and texts move once, at the end.
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import free_name, materialize
 
-DEPTH, PARTS, MIN_TEXTS, MAX_PERCENT = 3, 4, 10, 50
+DEPTH, PARTS, MIN_TEXTS = 3, 4, 10
 
 
 def generalised(line: Column) -> Column:
@@ -30,16 +30,16 @@ def generalised(line: Column) -> Column:
 
 
 def _line_rows(docs: DataFrame, depth: int) -> DataFrame:
-    """(uid, line, vote, leaf, parts, chars) of the lines that have a token; docs: uid, text. Equal texts have one vote."""
+    """(uid, line, vote, leaf, parts) of the lines that have a token; docs: uid, text. Equal texts have one vote."""
     lines = docs.select("uid", F.xxhash64("text").alias("vote"), F.posexplode(F.split("text", "\n", -1)).alias("line", "l"))
     rows = lines.select("uid", "line", "vote", generalised(F.col("l")).alias("said")).where("said <> ''")
-    rows = rows.select("uid", "line", "vote", F.length("said").alias("chars"), F.split("said", " ").alias("tokens"))
+    rows = rows.select("uid", "line", "vote", F.split("said", " ").alias("tokens"))
     rest = F.size("tokens") - depth
     n = F.least(rest, F.lit(PARTS))
     cut = lambda k: F.floor(k * rest / n).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.xxhash64(k, F.slice("tokens", cut(k) + depth + 1, cut(k + 1) - cut(k))))
     return rows.select(
-        "uid", "line", "vote", "chars", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.when(rest > 0, parts).otherwise(F.array(F.lit(0).cast("long"))).alias("parts")
+        "uid", "line", "vote", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.when(rest > 0, parts).otherwise(F.array(F.lit(0).cast("long"))).alias("parts")
     )
 
 
@@ -49,22 +49,20 @@ def _recurring(rows: DataFrame, keys: list[str], min_texts: int) -> DataFrame:
 
 
 def template_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(uid, drop, chars, all_chars) of documents (uid, text) with recurring lines: their line numbers, their characters and those of all lines."""
+    """(uid, drop) of documents (uid, text) with recurring lines: their line numbers."""
     rows = materialize(_line_rows(docs, depth))
     some = rows.join(_recurring(rows, ["leaf"], min_texts), "leaf")
-    parts = materialize(some.select("uid", "line", "vote", "chars", "leaf", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part")))
+    parts = materialize(some.select("uid", "line", "vote", "leaf", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part")))
     keys = ["leaf", "k", "part"]
-    hits = parts.join(_recurring(parts, keys, min_texts), keys).groupBy("uid", "line").agg(F.expr("bit_count(bit_or(shiftleft(1, k)))").alias("hits"), F.max("n").alias("n"), F.max("chars").alias("chars"))
-    found = hits.where("hits * 4 >= n * 3").groupBy("uid").agg(F.collect_set("line").alias("drop"), F.sum("chars").alias("chars"))
-    return found.join(rows.groupBy("uid").agg(F.sum("chars").alias("all_chars")), "uid")
+    hits = parts.join(_recurring(parts, keys, min_texts), keys).groupBy("uid", "line").agg(F.expr("bit_count(bit_or(shiftleft(1, k)))").alias("hits"), F.max("n").alias("n"))
+    return hits.where("hits * 4 >= n * 3").groupBy("uid").agg(F.collect_set("line").alias("drop"))
 
 
-def drop_templates(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS, max_percent: int = MAX_PERCENT) -> DataFrame:
+def drop_templates(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS) -> DataFrame:
     """All columns of ``docs`` with the recurring lines gone from ``text``, and ``n_lines`` and ``n_dropped``."""
     uid, drop, taken = (free_name(docs, n) for n in ("uid", "drop", "taken"))
     keyed = docs.withColumn(uid, F.xxhash64("doc_id", "text"))
-    found = template_lines(keyed.select(F.col(uid).alias("uid"), "text"), depth, min_texts)
-    found = found.where(F.col("chars") * 100 <= F.col("all_chars") * max_percent).select(F.col("uid").alias(uid), F.col("drop").alias(drop))
+    found = template_lines(keyed.select(F.col(uid).alias("uid"), "text"), depth, min_texts).select(F.col("uid").alias(uid), F.col("drop").alias(drop))
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
     joined = keyed.join(found, uid, "left").withColumn(taken, F.coalesce(F.size(drop), F.lit(0)).cast("long"))
@@ -72,7 +70,8 @@ def drop_templates(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEX
     return joined.select(*(F.when(F.col(drop).isNotNull(), kept).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns), n_lines.alias(free_name(docs, "n_lines")), F.col(taken).alias(free_name(docs, "n_dropped")))
 
 
-#: Of doc_id, n_lines, n_dropped and text, strings standing for hashes, by an earlier rule: it counts pairs of neighbouring lines instead of texts.
+#: Of doc_id, n_lines, n_dropped and text, strings standing for hashes, by an earlier rule: it counts pairs of neighbouring lines instead of texts,
+#: and leaves documents whole that are over half recurring lines.
 ORACLE_SQL = """
 with split as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
 exploded as (select doc_id, unnest(lines) as line_text, unnest(range(len(lines))) as line from split),

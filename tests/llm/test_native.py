@@ -152,3 +152,11 @@ def test_line_templates_count_texts(spark):
     assert all(found[100 + i].text == docs[12][1] for i in range(30))
     few = lines.drop_templates(spark.createDataFrame(docs[:9] + docs[12:], "doc_id long, text string"))
     assert few.where("n_dropped > 0").count() == 0
+
+
+def test_line_templates_whatever_their_share(spark):
+    docs = [(i, f"{chr(97 + i)}x own.\nReleased under a licence that everybody knows, version {i}") for i in range(12)] + [(100 + i, f"Seen by visitor {i}") for i in range(12)]
+    found = {r.doc_id: r for r in lines.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(12):
+        assert (found[i].n_dropped, found[i].text) == (1, f"{chr(97 + i)}x own.")
+        assert (found[100 + i].n_lines, found[100 + i].n_dropped, found[100 + i].text) == (1, 1, "")
