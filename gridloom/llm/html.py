@@ -2,8 +2,12 @@
 
 Every block element's subtree is hashed and counted per host in Spark; subtrees that recur on many pages of their host are the site's
 template and are deleted, as are elements that say what they are (navigation, forms, adverts, comments ...). The main text is what is left of
-the page's article or main element, or of the body where a page marks neither. Blocks inside a marked article are its text even where
-they recur (licence lines, syndicated articles), so only unmarked content is at the template's mercy.
+the page's article or main element, or of the body where a page marks neither.
+
+Inside a marked article, subtrees count once for each different article, an article being known by its plain paragraphs and headings, so
+syndicated copies don't make their own parts a template. What can be claimed there is boxes (sections, lists, tables ...) and whatever has a
+class, an id or a role. Running text without any of these (paragraphs, headings, items, cells) is the article's own even where it recurs,
+such as licence lines; so are articles inside articles.
 
 The recurring subtrees are broadcast only while they are at most ``broadcast_rows`` keys of 8 bytes; beyond that each page gets its own by joins.
 
@@ -37,6 +41,9 @@ _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements of running text; `_SAID` are those that an article is known by.
+_SAID = frozenset("p h1 h2 h3 h4 h5 h6".split())
+_RUNNING = _SAID | frozenset("blockquote caption dd dt figcaption legend li optgroup option pre summary tbody td tfoot th thead tr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {
     **dict.fromkeys("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split(), frozenset({"p"})),
@@ -51,14 +58,16 @@ _MARK = re.compile(
     re.I,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar alert".split())
 
 
 class _Node:
-    __slots__ = ("drop", "end", "inside", "parent", "start", "tag")
+    __slots__ = ("drop", "end", "inside", "main", "parent", "plain", "start", "tag")
 
-    def __init__(self, tag, start, parent, inside, drop):
+    def __init__(self, tag, start, parent, inside, drop, main=False, plain=False):
         self.tag, self.start, self.parent, self.inside, self.drop, self.end = tag, start, parent, inside, drop, -1
+        self.main, self.plain = main, plain
 
 
 def _marked(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
@@ -125,7 +134,8 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, int, int, str]]]:
             stream.append((at, at, stack[-1], "block"))
         if tag in _VOID or (m["attrs"] or "").endswith("/") and tag not in _BLOCK:
             continue
-        nodes.append(_Node(tag, m.start(), stack[-1], up.inside or main and not drop and not up.drop, drop or up.drop))
+        main = main and not drop and not up.drop
+        nodes.append(_Node(tag, m.start(), stack[-1], up.inside or main, drop or up.drop, main, tag in _RUNNING and not _NAMED.search(m["attrs"] or "")))
         stack.append(len(nodes) - 1)
     if at < len(page):
         stream.append((at, len(page), stack[-1], "text"))
@@ -138,8 +148,17 @@ def _key(host: str, piece: str) -> int:
     return xxhash.xxh3_64_intdigest(piece, seed=xxhash.xxh32_intdigest(host)) - (1 << 63)
 
 
+def _articles(nodes: list[_Node]) -> list[int]:
+    """The innermost marked element around each element, or 0."""
+    out = [0] * len(nodes)
+    for k, x in enumerate(nodes[1:], 1):
+        out[k] = x.parent if nodes[x.parent].main else out[x.parent]
+    return out
+
+
 def _template_blocks(page: str, nodes: list[_Node], host: str):
-    """The elements that a template can claim, with their keys: blocks that are neither dropped already, nor inside a marked article, nor around one."""
+    """The elements that a template can claim, with their keys and, inside a marked article, a name of that article: blocks that are neither dropped
+    already, nor around a marked article, nor marked themselves, nor plain running text of one."""
     around = set()
     for x in nodes:
         if x.inside:
@@ -147,16 +166,26 @@ def _template_blocks(page: str, nodes: list[_Node], host: str):
             while p > 0 and p not in around and not nodes[p].inside:
                 around.add(p)
                 p = nodes[p].parent
+    articles, names = _articles(nodes), {}
     for k, x in enumerate(nodes):
-        if x.tag in _BLOCK and x.tag not in ("html", "body", "head") and not x.inside and not x.drop and k not in around:
-            yield k, _key(host, page[x.start : x.end])
+        if x.tag not in _BLOCK or x.tag in ("html", "body", "head") or x.drop or k in around:
+            continue
+        if not x.inside:
+            yield k, _key(host, page[x.start : x.end]), None
+        elif not x.main and not x.plain:
+            if (a := articles[k]) not in names:
+                within = page[nodes[a].start : nodes[a].end]
+                said = [i for i, y in enumerate(nodes) if y.plain and not y.drop and y.tag in _SAID and nodes[a].start < y.start < nodes[a].end]
+                own = [i for i in said if articles[i] == a] or said
+                names[a] = _key(host, "".join(page[nodes[i].start : nodes[i].end] for i in own) or within)
+            yield k, _key(f"{host}/", page[x.start : x.end]), names[a]
 
 
 def main_text(page: str, host: str, recurs) -> str:
     """The text of a page. recurs: says of a subtree's key whether it is the host's template."""
     nodes, stream = parse(page)
     gone = [x.drop for x in nodes]
-    for k, key in _template_blocks(page, nodes, host):
+    for k, key, _ in _template_blocks(page, nodes, host):
         gone[k] = gone[k] or recurs(key)
     for k, x in enumerate(nodes[1:], 1):
         gone[k] = gone[k] or gone[x.parent]
@@ -178,18 +207,23 @@ def _host(url) -> str:
 
 
 def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(url, page_key, key) of every claimable subtree, and the keys that recur on at least so many pages and that share of their host's pages."""
+    """(url, page_key, host, key, article) of every claimable subtree, and the keys that recur on at least so many pages, or in so many different
+    articles, and that share of their host's pages."""
 
     def hashes(batches):
         for batch in batches:
             rows = []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host = _host(url)
-                rows += [(url, xxhash.xxh3_64_intdigest(page or "") - (1 << 63), host, key) for key in {0, *(key for _, key in _template_blocks(page or "", parse(page or "")[0], host))}]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["url", "page_key", "host", "key"])
-
-    found = pages.select("url", "html").mapInArrow(hashes, "url string, page_key long, host string, key long")
-    counts = materialize(found.groupBy("host", "key").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | (F.col("key") == 0)))
+                claimable = {(0, None), *((key, article) for _, key, article in _template_blocks(page or "", parse(page or "")[0], host))}
+                rows += [(url, xxhash.xxh3_64_intdigest(page or "") - (1 << 63), host, key, article) for key, article in claimable]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["url", "page_key", "host", "key", "article"]
+            )
+
+    found = pages.select("url", "html").mapInArrow(hashes, "url string, page_key long, host string, key long, article long")
+    once = found.groupBy("host", "key", "article").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("article").isNull(), F.col("n")).otherwise(1))
+    counts = materialize(once.groupBy("host", "key").agg(F.sum("n").alias("n")).where((F.col("n") >= min_pages) | (F.col("key") == 0)))
     hosts = counts.where("key = 0").select("host", F.col("n").alias("pages"))
     return found, counts.where("key <> 0").join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "key")
 

@@ -259,6 +259,19 @@ def test_html_cases(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_boxes_inside_articles(spark):
+    box = "<div class='xyz'><p>Read this too</p><ul><li>that</ul></div><section>Seen by many</section><p class=k7>Tell a friend</p>"
+    own = lambda i: f"<h1>News</h1><p>Own text {i}</p><p>Free licence</p><ul><li>one<li>{i}</ul>"
+    rows = [(i, "http://a.example/p", f"<main><div>Site</div><article>{own(i)}{box}</article></main>", "x") for i in range(8)]
+    # copies of one article, with a wrapper around their text and a changing box
+    rows += [(20 + i, "http://b.example/p", f"<article><div class=body><h1>Same</h1><p>Same text</p></div><div class=n>{i}</div></article>", "x") for i in range(8)]
+    rows += [(40 + i, "http://c.example/p", f"<main><div>{i}</div><div class=wrap><article><p>Same text</p></article></div></main>", "x") for i in range(8)]
+    df = spark.createDataFrame(rows, PAGES)
+    want = {**{i: f"News Own text {i} Free licence one {i}" for i in range(8)}, **{20 + i: f"Same Same text {i}" for i in range(8)}, **{40 + i: f"{i} Same text" for i in range(8)}}
+    for limit in (html.BROADCAST_ROWS, 0):
+        assert {r.page_id: r.text for r in html.extract(df, broadcast_rows=limit).collect()} == want
+
+
 def distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(pattern, 1):
