@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Orders in a page of `vocabulary_grids`, and the width of the key ranges in which it numbers them.
+GRID_ORDERS, ORDER_RANGE = 20, 1 << 14
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,8 +60,15 @@ def nav_grids(pages: DataFrame) -> DataFrame:
 
 
 def vocabulary_grids(orders: DataFrame) -> DataFrame:
-    """One grid per customer, over the first twenty orders: metric, amount, period."""
-    own = orders.groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice", F.year("o_orderdate").cast("string").alias("year")))), 1, 20).alias("orders"))
+    """Grids of each customer's orders, metric, amount, period: a page for every twenty orders.
+
+    Orders are numbered within key ranges and the ranges' counts are summed up, so a customer with most of the orders isn't one task's work."""
+    named = orders.select("o_custkey", F.floor(F.col("o_orderkey") / ORDER_RANGE).alias("range"), F.struct("o_orderkey", "o_totalprice", F.year("o_orderdate").cast("string").alias("year")).alias("order"))
+    before = Window.partitionBy("o_custkey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = named.groupBy("o_custkey", "range").agg(F.count("*").alias("n")).select(F.col("o_custkey").alias("key"), F.col("range").alias("key_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("o_custkey", "range").orderBy("order")) + F.col("before") - 1
+    paged = named.join(ranges, F.col("o_custkey").eqNullSafe(F.col("key")) & F.col("range").eqNullSafe(F.col("key_range"))).select("o_custkey", F.floor(nth / GRID_ORDERS + 1).alias("page"), "order")
+    own = paged.groupBy("o_custkey", "page").agg(F.array_sort(F.collect_list("order")).alias("orders"))
     which, prefix = F.col("o_custkey") % 9, F.col("o_custkey") % 4
 
     def phrase(year: Column) -> Column:
@@ -70,7 +80,7 @@ def vocabulary_grids(orders: DataFrame) -> DataFrame:
 
     mark = F.when(prefix == 0, "$").when(prefix == 1, "CHF ").when(prefix == 2, "Rs ").otherwise("")
     row = lambda x: F.array(phrase(x["year"]), F.concat(mark, F.format_number(x["o_totalprice"], 2)), F.concat(F.lit("FY"), x["year"]))
-    return _grid(own, F.col("o_custkey"), F.lit(1), "lines", 1, F.concat(F.array(_row("Metric", "Amount", "Period")), F.transform("orders", row)))
+    return _grid(own, F.col("o_custkey"), F.col("page"), "lines", 1, F.concat(F.array(_row("Metric", "Amount", "Period")), F.transform("orders", row)))
 
 
 def synthetic_images(embeddings: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import clean_cell, lenient_number
 from gridloom.operators import classify, grids
+from gridloom.sources import tables
 
 SCHEMA = "doc_id bigint, page_number int, method string, method_rank int, raw_index int, cells array<array<string>>"
 
@@ -86,3 +89,13 @@ def test_limits(spark):
 
     df = spark.range(5)
     assert [limit_items(df, n, "id").count() for n in (None, -1, 0, 3)] == [5, 0, 0, 3]
+
+
+def test_vocabulary_grids_hold_every_order(spark):
+    at = datetime.date(1997, 1, 1)
+    rows = [(i * 700, 9, i + 0.5, at) for i in range(1, 46)] + [(i, 4, i + 0.5, at) for i in range(20)] + [(7, None, 1.5, at), (None, 9, 0.5, at)]
+    found = tables.vocabulary_grids(spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date").repartition(5)).collect()
+    got = {(r.doc_id, r.page_number): [row[1] for row in r.cells[1:]] for r in found}
+    assert len(found) == 5 and all(r.cells[0] == ["Metric", "Amount", "Period"] for r in found)
+    assert got[9, 1] + got[9, 2] + got[9, 3] == [f"CHF {i}.50" for i in range(46)] and [len(got[9, k]) for k in (1, 2, 3)] == [20, 20, 6]
+    assert len(got[4, 1]) == 20 and got[None, 1] == ["1.50"]
