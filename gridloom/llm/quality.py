@@ -112,27 +112,26 @@ def references(docs: DataFrame, common: int = COMMON_WORDS, min_words: int = MIN
                 all_keys, back = np.unique(np.concatenate([held[0], keys]), return_inverse=True)
                 held[0], held[1] = all_keys, np.bincount(back, weights=np.concatenate([held[1], counts])).astype(np.int64)
         for lang, (keys, counts, classes) in words.items():
-            # a word that makes 1/4000 of the language's words makes that in some partition; rarer ones aren't among the commonest
-            some = counts * 4000 >= counts.sum()
-            n = int(some.sum()) + 1 + _CLASSES
+            n = len(keys) + 1 + _CLASSES
             kind = np.concatenate([np.zeros(n - 1 - _CLASSES), [1], np.full(_CLASSES, 2)]).astype(np.int32)
-            key = np.concatenate([signed(keys[some]), [0], np.arange(_CLASSES)])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(kind), pa.array(key), pa.array(np.concatenate([counts[some], [counts.sum()], classes]))], names=["lang", "kind", "key", "n"])
+            key = np.concatenate([signed(keys), [0], np.arange(_CLASSES)])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(kind), pa.array(key), pa.array(np.concatenate([counts, [counts.sum()], classes]))], names=["lang", "kind", "key", "n"])
 
     sums = docs.select("lang", "text").mapInArrow(counted, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")))
     out: dict = {}
-    for r in ranked.where((F.col("kind") > 0) | (F.col("rank") <= common)).collect():
+    # one limit on the rank, so that each partition sends its highest alone; it leaves the few rows of the other kinds whole
+    for r in ranked.where(F.col("rank") <= max(common, _CLASSES)).collect():
         ref = out.setdefault(r.lang, (np.zeros(_CLASSES), {}, [0]))
         if r.kind == 2:
             ref[0][r.key] = r.n
         elif r.kind == 1:
             ref[2][0] = r.n
-        else:
+        elif r.rank <= common:
             ref[1][r.key] = r.n
     done = {}
     for lang, (classes, words, total) in sorted(out.items()):
-        if total[0] >= min_words:
+        if words and total[0] >= min_words:
             keys = sorted(words)
             counts = np.array([words[k] for k in keys], float)
             done[lang] = classes, np.array(keys, np.int64).view(np.uint64), np.append(counts, total[0] - counts.sum())

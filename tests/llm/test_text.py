@@ -202,6 +202,19 @@ def test_quality_rejects_other_distributions(spark):
     assert all(kept[i] for i in [*range(60), 94, 95]) and not any(kept[i] for i in (90, 91, 92, 93))
 
 
+def test_quality_references_count_all_rows(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(6000)]
+    rows = [(i, " ".join(words[i * 100 : i * 100 + 100]), "xx", 0) for i in range(60)]
+    rows += [(100 + i, " ".join(rng.choices(words[:300], k=200) + ["rare"] * (i == 0)), "yy", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS)
+    one, many = (quality.references(df.repartition(k, "doc_id"), common=400) for k in (1, 7))
+    for lang, n in (("xx", 400), ("yy", 301)):
+        assert len(one[lang][1]) == len(many[lang][1]) == n
+        assert all((a == b).all() for a, b in zip(one[lang], many[lang], strict=True))
+    assert one["yy"][2][-1] == 0 and quality.judge(df, quality.references(df)).count() == 120
+
+
 def test_js_distance():
     p, q = np.array([[1.0, 0], [1, 1], [0, 2]]), np.array([1.0, 0])
     got = quality.js_distance(p, q)
