@@ -22,7 +22,7 @@ from gridloom.llm.common import gram_hashes, mix, signed, slices, span_hashes, t
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 COMMON_WORDS, MIN_REFERENCE, MIN_CHARS, MIN_JUDGED_WORDS = 64, 2000, 200, 50
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.55
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.5
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"[#*$%&|<>]"[1:-1])] = True

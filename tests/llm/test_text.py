@@ -215,6 +215,14 @@ def test_quality_references_count_all_rows(spark):
     assert one["yy"][2][-1] == 0 and quality.judge(df, quality.references(df)).count() == 120
 
 
+def test_quality_word_limit_lies_below_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    judged = quality.judge(docs, quality.references(docs)).join(labels, "doc_id").where("not base_failed").collect()
+    assert all(r.kept for r in judged if r.quality == 1)
+    assert not [r.word_distance for r in judged if r.quality == 0 and r.kept and r.word_distance > 0.5]
+
+
 def test_js_distance():
     p, q = np.array([[1.0, 0], [1, 1], [0, 2]]), np.array([1.0, 0])
     got = quality.js_distance(p, q)
