@@ -5,13 +5,18 @@
 3. The other bins are items of the next round: they are dealt into groups of at most ``group_items``, each group packs them by best
    fit, and so on up the tree, until one group holds what is left or a round joins under 1 % of the bins.
 
-Only rows about bins move between rounds; a group's memory is bounded by ``group_items`` rows whatever the input.
+Only rows about bins move between rounds; a group's memory is bounded by ``group_items`` rows whatever the input. Best fit leaves at most one
+bin of a group half full or less, so a last round that joins little leaves bins that are nearly all over half full, and final bins are
+at least ``capacity - slack`` full; where short documents abound the sequences come to within 1 % of the fewest possible.
 
-Defined cases: null or empty text is the end id alone; repeated rows are packed separately; a null doc_id is kept; an empty table gives no rows.
+Defined cases: null or empty text is the end id alone; repeated rows are packed separately; a null doc_id is kept, and its type is the
+input's; an empty table gives no rows; pieces may have columns of any name but sequence_id, and an ``offset`` of theirs is replaced; a very long
+text is tokenised in stretches between white space.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -20,77 +25,218 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from gridloom.llm.common import materialize, release, slices, span_hashes, text_buffer, with_fields, word_spans
+from gridloom.llm.common import _GAMMA, _INVERSE, _POWER, CHUNK_BYTES, IS_SPACE, free_name, materialize, mix, release, slices, text_buffer, with_fields
 
 CAPACITY, SLACK, GROUP_ITEMS = 2048, 8, 50_000
 
-#: Distinct words that a worker remembers; beyond this it starts afresh.
-CACHE_WORDS = 400_000
+#: Distinct units that a worker remembers; beyond this those go that were met longest ago.
+CACHE_UNITS = 400_000
 
+_SPACE, _MARK, _DIGIT, _LETTER, _ODD = range(5)
+_CODES = 0xD800
 
-class WordEncoder:
-    """Ids of the words of a white-space-splitting tokenizer; each distinct word is encoded once while it is remembered."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of each code point under `_CODES`. Those are odd whose case, class or composition isn't a matter of one character, or
+    might differ between versions of Unicode."""
+    kinds, lower, early = np.full(_CODES, _ODD, np.uint8), np.arange(_CODES, dtype=np.uint32), unicodedata.ucd_3_2_0
+    of = {"L": _LETTER, "N": _DIGIT, "P": _MARK, "S": _MARK}
+    for code in range(32, _CODES):
+        ch = chr(code)
+        kind = of.get(unicodedata.category(ch)[0])
+        low = ch.lower()
+        if kind is None or of.get(early.category(ch)[0]) != kind or len(low) > 1 or unicodedata.normalize("NFC", ch) != ch or unicodedata.normalize("NFC", low) != low or ord(low) >= _CODES or 0x1100 <= code < 0x1200:
+            continue
+        kinds[code], lower[code] = kind, ord(low)
+    kinds[np.flatnonzero(IS_SPACE)] = _SPACE
+    return kinds, lower
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: its own where it prints, else one from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
 
-    def clear(self) -> None:
-        self.keys, self.at, self.count, self.ids, self.used = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 16, np.uint32), 0
+class UnitEncoder:
+    """Ids of texts under a lower-casing byte-level BPE tokenizer that drops white space and splits letter runs, digits, mark runs and contractions.
 
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids, counts = [], np.zeros(len(words), np.int64)
-        plain = [i for i, w in enumerate(words) if "<|" not in w]
-        found = [None] * len(words)
+    Texts are split into these units by arrays; each distinct unit goes through the tokenizer's own model once while it is remembered. A word with a
+    character that `_characters` calls odd, or with a special token's beginning, goes through the whole tokenizer instead."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.units = Tokenizer(Tokenizer.from_file(path).model)  # no normaliser: units are lower-case already, and between spaces
+        self.units.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # whether a token ends a unit
+        self.last[[i for token, i in self.units.get_vocab().items() if token.endswith(self.units.model.end_of_word_suffix)]] = True
+        letters = _byte_letters()
+        self.letters = str.maketrans({chr(b): c for b, c in letters.items()})
+        self.keys, self.at, self.count, self.met = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.used, self.tick = np.empty(1 << 16, np.uint32), 0, 0
+
+    def _ids_of(self, plain: list[str], odd: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of plain units and then of odd words, and their counts."""
+        ids, counts = [], np.zeros(len(plain) + len(odd), np.int64)
         for lo in range(0, len(plain), 2000):
             some = plain[lo : lo + 2000]
-            e = self.tokenizer.encode([words[i] for i in some], is_pretokenized=True, add_special_tokens=False)
-            got, of = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
-            cut = np.searchsorted(of, np.arange(len(some) + 1))
-            for k, i in enumerate(some):
-                found[i] = got[cut[k] : cut[k + 1]]
-        for i, w in enumerate(words):
-            if found[i] is None:
-                found[i] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
-            counts[i] = len(found[i])
-            ids.append(found[i])
-        new = np.concatenate(ids)
-        while self.used + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            text = " ".join(some)
+            if not text.isascii():
+                text = " ".join([s if s.isascii() else s.encode().decode("latin-1").translate(self.letters) for s in some])
+            ids.append(np.array(self.units.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+            stops = np.flatnonzero(self.last[ids[-1]])
+            if len(stops) != len(some):
+                raise ValueError("a unit's last id must be that of a token with the vocabulary's word end, and no other")
+            counts[lo : lo + len(some)] = np.diff(stops, prepend=-1)
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [], len(plain)):
+            ids.append(np.array(e.ids, np.uint32))
+            counts[k] = len(ids[-1])
+        return np.concatenate(ids) if ids else np.empty(0, np.uint32), counts
+
+    def _learn(self, keys: np.ndarray, plain: list[str], odd: list[str]) -> None:
+        """Remember new units; keys: those of the plain ones, then those of the odd ones."""
+        if len(self.keys) + len(keys) > CACHE_UNITS and len(self.keys):
+            keep = np.flatnonzero((self.met > np.median(self.met)) | (self.met == self.tick))
+            at, count = self.at[keep], self.count[keep]
+            stop = np.cumsum(count)
+            self.ids = self.ids[np.repeat(at - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
+            self.keys, self.at, self.count, self.met, self.used = self.keys[keep], stop - count, count, self.met[keep], len(self.ids)
+        new, counts = self._ids_of(plain, odd)
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(new), self.used, 1 << 16), np.uint32)])
         self.ids[self.used : self.used + len(new)] = new
-        at = self.used + np.concatenate([[0], np.cumsum(counts)[:-1]])
+        at = self.used + np.cumsum(counts) - counts
         self.used += len(new)
-        order = np.argsort(all_keys := np.concatenate([self.keys, keys]), kind="stable")
-        self.keys, self.at, self.count = all_keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.count, counts])[order]
+        order = np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[order])
+        self.keys, self.at, self.count = (np.insert(old, place, x[order]) for old, x in ((self.keys, keys), (self.at, at), (self.count, counts)))
+        self.met = np.insert(self.met, place, self.tick)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all rows, and the rows' counts."""
-        n = len(off) - 1
-        starts, ends, rows = word_spans(data, off)
+        """All ids of all rows, and the rows' counts. Rows are read in stretches that end at white space or at a row's end."""
+        total, ids = np.zeros(len(off) - 1, np.int64), []
+        a, n = 0, len(data)
+        while a < n:
+            b = min(n, a + CHUNK_BYTES)
+            if b < n:
+                edge = int(off[np.searchsorted(off, b, "right") - 1])
+                gaps = np.flatnonzero(IS_SPACE[data[max(a, edge) : b]])
+                if len(gaps):
+                    b = max(a, edge) + int(gaps[-1]) + 1
+                elif edge > a:
+                    b = edge
+                else:  # a word longer than a stretch
+                    end = int(off[np.searchsorted(off, a, "right")])
+                    later = np.flatnonzero(IS_SPACE[data[b:end]])
+                    b = b + int(later[0]) if len(later) else end
+            lo, hi = int(np.searchsorted(off, a, "right")) - 1, int(np.searchsorted(off, b, "left"))
+            found, counts = self._stretch(data[a:b], np.clip(off[lo : hi + 1], a, b) - a)
+            ids.append(found)
+            total[lo:hi] += counts
+            a = b
+        return np.concatenate(ids) if ids else np.empty(0, np.uint32), total
+
+    def _stretch(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kinds, lower = _characters()
+        text = data.tobytes().decode()
+        if len(text) == len(data):
+            raw, edges = data, off
+        else:
+            raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            edges = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
+        beyond = raw >= _CODES if raw.dtype == np.uint32 else np.zeros(len(raw), bool)
+        codes = np.where(beyond, 0, raw) if beyond.any() else raw
+        kind, low = kinds[codes], lower[codes]
+        row_edge = np.zeros(len(raw) + 1, bool)
+        row_edge[edges] = True
+        fresh = np.concatenate([[True], kind[1:] != kind[:-1]]) | row_edge[:-1] | (kind == _DIGIT)
+
+        # a lone apostrophe takes s, t, m, d, re, ve or ll after it
+        lone = np.flatnonzero((raw[:-1] == 39) & fresh[:-1] & fresh[1:] & (kind[1:] == _LETTER) & ~row_edge[1:-1]) if len(raw) > 1 else np.empty(0, np.int64)
+        if len(lone):
+            wide = np.concatenate([low, np.zeros(3, low.dtype)])
+            one, two = wide[lone + 1], wide[lone + 2]
+            short = (one == 115) | (one == 116) | (one == 109) | (one == 100)
+            long = (((one == 114) | (one == 118)) & (two == 101)) | ((one == 108) & (two == 108))
+            stop = np.concatenate([fresh, [True, True, True]])
+            long &= ~stop[lone + 2]
+            for hit, size in ((lone[short], 2), (lone[long & ~short], 3)):
+                fresh[hit + 1] = False
+                end = hit + size
+                end = end[end < len(raw)]
+                fresh[end] = True
+
+        odd = kind == _ODD
+        odd[:-1] |= (raw[:-1] == 60) & (raw[1:] == 124)
+        seen = kind != _SPACE
+        if odd.any():  # the whole words around odd characters
+            first = seen.copy()
+            first[1:] &= ~seen[:-1] | row_edge[1:-1]
+            word = np.cumsum(first) - 1
+            bad = np.zeros(int(word[-1]) + 1, bool)
+            bad[word[odd & seen]] = True
+            odd = seen & bad[np.maximum(word, 0)]
+            fresh = np.where(odd, first, fresh)
+        starts = np.flatnonzero(fresh)
+        ends = np.append(starts[1:], len(raw))
+        inside = seen[starts]
+        starts, ends = starts[inside], ends[inside]
         if not len(starts):
-            return np.empty(0, np.uint32), np.zeros(n, np.int64)
-        distinct, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_WORDS:
-            self.clear()
+            return np.empty(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+
+        up, down = _code_powers(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        said = np.where(odd, raw.astype(np.uint64) + np.uint64(1 << 32), low) if odd.any() else low.astype(np.uint64)
+        np.cumsum(mix(said + _GAMMA) * up, out=sums[1:])
+        keys = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GAMMA)
+
+        order = np.argsort(keys)
+        sorted_keys = keys[order]
+        head = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
+        distinct, first_at = sorted_keys[head], order[head]
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.cumsum(head) - 1
+        self.tick += 1
         place = np.searchsorted(self.keys, distinct)
         known = place < len(self.keys)
         known[known] = self.keys[place[known]] == distinct[known]
+        self.met[place[known]] = self.tick
         if not known.all():
-            text = data.tobytes()
-            self.learn(distinct[~known], [text[s:e].decode() for s, e in zip(starts[first[~known]].tolist(), ends[first[~known]].tolist(), strict=True)])
+            s, e = starts[first_at[~known]], ends[first_at[~known]]
+            strange = odd[s]
+            lowered = low.astype("<u4").tobytes().decode("utf-32-le")  # odd characters are as they were, but for those beyond the table
+            plain = [lowered[i:j] for i, j in zip(s[~strange].tolist(), e[~strange].tolist(), strict=True)]
+            words = [text[i:j] for i, j in zip(s[strange].tolist(), e[strange].tolist(), strict=True)]
+            self._learn(np.concatenate([distinct[~known][~strange], distinct[~known][strange]]), plain, words)
             place = np.searchsorted(self.keys, distinct)
         at, count = self.at[place][back], self.count[place][back]
         stop = np.cumsum(count)
         ids = self.ids[np.repeat(at - (stop - count), count) + np.arange(stop[-1])]
-        return ids, np.bincount(rows, weights=count, minlength=n).astype(np.int64)
+        rows = np.searchsorted(edges, starts, "right") - 1
+        return ids, np.bincount(rows, weights=count, minlength=len(off) - 1).astype(np.int64)
+
+
+_CODE_POWERS: dict[str, np.ndarray] = {}
+
+
+def _code_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_CODE_POWERS.get("up", ())) < n:
+        for name, base in (("up", _POWER), ("down", _INVERSE)):
+            x = np.full(max(n, CHUNK_BYTES), base, np.uint64)
+            x[0] = 1
+            _CODE_POWERS[name] = np.cumprod(x, dtype=np.uint64)
+    return _CODE_POWERS["up"][:n], _CODE_POWERS["down"][:n]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> UnitEncoder:
+    return UnitEncoder(path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -105,15 +251,21 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def cut(batches):
         for batch in slices(batches, "text"):
             ids, counts = encoder(tokenizer).encode(*text_buffer(batch.column("text")))
-            keys, out, base = batch.column("doc_id").to_pylist(), [], 0
-            for key, count in zip(keys, counts.tolist(), strict=True):
-                own = np.append(ids[base : base + count], np.uint32(end_id)).astype("<u4")
-                base += count
-                out += [(key, k, s, min(capacity, len(own) - s), own[s : s + capacity].tobytes()) for k, s in enumerate(range(0, len(own), capacity))]
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+            own = np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype("<u4", copy=False)
+            counts += 1
+            per = -(-counts // capacity)
+            rows = np.repeat(np.arange(len(counts)), per)
+            piece = np.arange(len(rows)) - np.repeat(np.cumsum(per) - per, per)
+            length = np.minimum(capacity, counts[rows] - piece * capacity)
+            ends = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(own)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(rows)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), blobs], names=["doc_id", "piece", "start", "length", "ids"]
+            )
+        release()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *(StructField(c, t) for c, t in (("piece", IntegerType()), ("start", LongType()), ("length", LongType()), ("ids", BinaryType())))])
+    return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +293,9 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, group_items: int = GROUP_ITEMS) -> DataFrame:
     """All columns of ``pieces`` (which has ``length``), with sequence_id and offset."""
-    schema = with_fields(pieces, bin="long", offset="long")
+    pieces = pieces.drop("offset")
+    bin_ = free_name(pieces, "bin")
+    schema = with_fields(pieces, **{bin_: "long", "offset": "long"})
 
     def local(batches):
         count, held, n = 0, [], 0
@@ -150,7 +304,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, group_
             nonlocal count, held, n
             whole = pa.Table.from_batches(held)
             bins, offsets, fill = best_fit(whole.column("length").to_numpy(), capacity)
-            out = whole.append_column("bin", pa.array(base + count + bins)).append_column("offset", pa.array(offsets))
+            out = whole.append_column(bin_, pa.array(base + count + bins)).append_column("offset", pa.array(offsets))
             count, held, n = count + len(fill), [], 0
             return out.to_batches()
 
@@ -164,7 +318,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, group_
         release()
 
     placed = materialize(pieces.mapInArrow(local, schema))
-    items = placed.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < capacity - slack)
+    items = placed.groupBy(F.col(bin_).alias("bin")).agg(F.sum("length").alias("fill")).where(F.col("fill") < capacity - slack)
     moved = materialize(items.select("bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("base"), "fill"))
     left, level = moved.count(), 0
     while left > 1:
@@ -187,10 +341,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, group_
         if groups == 1 or left > 0.99 * before:
             break
     return (
-        placed.join(moved.drop("fill"), "bin", "left")
-        .withColumn("sequence_id", F.coalesce("root", "bin"))
-        .withColumn("offset", F.col("offset") + F.coalesce("base", F.lit(0)))
-        .select(*pieces.columns, "sequence_id", "offset")
+        placed.alias("p").join(moved.drop("fill").alias("m"), F.col(f"p.{bin_}") == F.col("m.bin"), "left")
+        .select(*(f"p.{c}" for c in pieces.columns), F.coalesce("m.root", f"p.{bin_}").alias("sequence_id"), (F.col("p.offset") + F.coalesce("m.base", F.lit(0))).alias("offset"))
     )
 
 
