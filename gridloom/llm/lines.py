@@ -44,8 +44,9 @@ def _line_rows(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def _recurring(rows: DataFrame, keys: list[str], min_texts: int) -> DataFrame:
-    """The keys found in enough different texts."""
-    return rows.groupBy(*keys, "vote").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select(*keys)
+    """The keys found in enough different texts; written, so that a join with them is broadcast where they are few, and splits hot keys where not."""
+    votes = rows.select(*keys, "vote").distinct()
+    return materialize(votes.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select(*keys))
 
 
 def template_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS) -> DataFrame:
