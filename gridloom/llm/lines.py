@@ -71,36 +71,22 @@ def drop_templates(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEX
     return joined.select(*(F.when(F.col(drop).isNotNull(), kept).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns), n_lines.alias(free_name(docs, "n_lines")), F.col(taken).alias(free_name(docs, "n_dropped")))
 
 
-#: Of doc_id, n_lines, n_dropped and text, strings standing for hashes, by an earlier rule: it counts pairs of neighbouring lines instead of texts,
-#: and leaves documents whole that are over half recurring lines.
+#: Strings stand for hashes, and a document's whole text for its vote.
 ORACLE_SQL = """
 with split as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
-exploded as (select doc_id, unnest(lines) as line_text, unnest(range(len(lines))) as line from split),
-said as (select *, trim(regexp_replace(line_text, '[\\x09-\\x0D\\x20]+', ' ', 'g'), ' ') as plain from exploded),
-general as (
-  select doc_id, line, regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g') as said,
-    lag(regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g')) over (partition by doc_id order by line) as before,
-    lead(regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g')) over (partition by doc_id order by line) as after
-  from said),
-tokens as (
-  select doc_id, line, coalesce(before, chr(1)) || chr(2) || coalesce(after, chr(1)) as context, length(said) as chars, string_split(said, ' ') as t
-  from general where said <> ''),
-cut as (
-  select *, len(t) || ' ' || array_to_string(t[1:3], ' ') as leaf, len(t) - 3 as rest, greatest(1, least(len(t) - 3, 4)) as n from tokens),
-leaf_docs as (select leaf, doc_id, min_by(context, line) as context from cut group by all),
-leaves as (select leaf from leaf_docs group by leaf having count(distinct context) >= 10),
+exploded as (select doc_id, text, unnest(lines) as line_text, unnest(range(len(lines))) as line from split),
+plain as (select doc_id, text, line, trim(regexp_replace(line_text, '[\\x09-\\x0D\\x20]+', ' ', 'g'), ' ') as plain from exploded),
+tokens as (select doc_id, text, line, string_split(regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') as t from plain where plain <> ''),
+cut as (select *, len(t) || ' ' || array_to_string(t[1:3], ' ') as leaf, len(t) - 3 as rest, greatest(1, least(len(t) - 3, 4)) as n from tokens),
+leaves as (select leaf from cut group by leaf having count(distinct text) >= 10),
 parts as (
-  select doc_id, line, context, chars, leaf, n, k,
-    case when rest > 0 then array_to_string(t[cast(floor(k * rest / n) as int) + 4 : cast(floor((k + 1) * rest / n) as int) + 3], ' ') else '' end as part
+  select doc_id, text, line, leaf, n, k, case when rest > 0 then array_to_string(t[cast(floor(k * rest / n) as int) + 4 : cast(floor((k + 1) * rest / n) as int) + 3], ' ') else '' end as part
   from (select *, unnest(range(n)) as k from cut where leaf in (select leaf from leaves))),
-part_docs as (select leaf, k, part, doc_id, min_by(context, line) as context from parts group by all),
-recurring as (select leaf, k, part from part_docs group by all having count(distinct context) >= 10),
-hits as (select doc_id, line, n, chars from parts join recurring using (leaf, k, part) group by all having count(*) * 4 >= n * 3),
-sums as (select doc_id, sum(chars) as all_chars from tokens group by 1),
-gone as (select doc_id, list(line) as drop_lines, sum(chars) as chars from hits group by 1),
-found as (select doc_id, drop_lines from gone join sums using (doc_id) where chars * 100 <= all_chars * 50)
+recurring as (select leaf, k, part from parts group by all having count(distinct text) >= 10),
+hits as (select doc_id, line, n from parts join recurring using (leaf, k, part) group by all having count(*) * 4 >= n * 3),
+gone as (select doc_id, list(line) as drop_lines from hits group by 1)
 select doc_id, coalesce(len(lines), 0) as n_lines, coalesce(len(drop_lines), 0) as n_dropped,
   case when drop_lines is null then text
     else array_to_string(list_transform(list_filter(list_zip(lines, range(len(lines))), lambda x: not list_contains(drop_lines, x[2])), lambda x: x[1]), chr(10)) end as text
-from split left join found using (doc_id)
+from split left join gone using (doc_id)
 """
