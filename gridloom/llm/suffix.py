@@ -2,30 +2,36 @@
 
 A byte goes if a string of ``length`` bytes that covers it starts anywhere else, in any document or its own.
 
-1. Windows of ``length`` bytes are dealt by their minimiser: equal windows have the same smallest 24-gram, the *anchor*. Consecutive windows
-   with one anchor form a segment. Equal segments of a slice collapse before the shuffle, so a hot passage costs a row a slice.
-2. Segments alone under their anchor repeat nothing. Segments with equal hashes repeat whole. What is left, different segments under
-   one anchor (the edges of matches), is fetched as bytes and indexed.
-3. Each index holds a bounded block of whole anchors: a suffix array gives the Burrows-Wheeler transform, its runs, and suffix samples at
-   run ends. Matching statistics stream over the block from those samples: at a sampled position the match with the neighbouring suffix
-   is measured, at every other position it is the last one less one. Positions with matches of ``length`` are marked.
-4. An anchor with more than ``block_segments`` different segments would not fit a block; its windows are hashed and counted in Spark
-   instead, which is exact too.
+1. Windows of ``length`` bytes are dealt by their minimiser: equal windows have the same smallest gram of 24 bytes, the *anchor*. Consecutive
+   windows with one anchor form a segment. Copies of a segment collapse, in their slice and then in Spark, to one with a count: a copy repeats
+   whole, and the index needs its text once. Segments alone under their anchor repeat nothing.
+2. What is left, different segments under one anchor (the edges of matches), is fetched as bytes and indexed in bounded blocks of whole anchors.
+   A block's index is the runs of its Burrows-Wheeler transform: each run's byte, first row and the row that its first one leads to, and samples
+   at both ends of a run: how far the suffix there matches its neighbour beyond the run.
+3. Matching statistics stream through the index: all segments of a block step backwards from their ends by the runs alone; inside a run a match
+   with a neighbour grows by one, at a run's end it is that run's sample. Positions with a match of ``length`` are marked.
+4. An anchor with more than ``block_segments`` different segments would not fit a block. Its segments are dealt anew by minimisers of a longer gram, of
+   72, 136 and at last ``length`` bytes, where a segment is a window and its copies collapse, so every level ends in bounded blocks.
 
 Defined cases: null text is empty; texts shorter than ``length`` stay; repeated rows repeat each other; rows with equal ids are told apart
-by their texts; an empty table gives no rows; extra columns are ignored.
+by their texts; very long texts are dealt in stretches that share ``length - 1`` bytes; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import _GAMMA, _byte_codes, _powers, materialize, mix, signed, slices, text_buffer
+from gridloom.llm.common import _GAMMA, CHUNK_BYTES, _byte_codes, _powers, materialize, mix, signed, slices, text_buffer
 
-LENGTH, GRAM, BLOCK_BYTES, BLOCK_SEGMENTS, BROADCAST_IDS = 200, 24, 1 << 20, 4096, 2_000_000
+LENGTH, BLOCK_BYTES, BLOCK_SEGMENTS, BROADCAST_IDS = 200, 1 << 20, 4096, 2_000_000
+
+
+def grams(length: int) -> list[int]:
+    """The gram lengths by level, the window's own last."""
+    return [g for g in (24, 72, 136) if g < length] + [length]
 
 
 def _hasher(data: np.ndarray):
@@ -36,20 +42,20 @@ def _hasher(data: np.ndarray):
     return lambda s, e: mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _GAMMA)
 
 
-def segments(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, off: np.ndarray, length: int, gram_bytes: int = 24) -> tuple[np.ndarray, ...]:
     """Rows, starts (in ``data``), lengths, anchors and content hashes of the segments of all rows."""
-    n, grams = len(data), length - GRAM + 1
+    n, places = len(data), length - gram_bytes + 1
     rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
     windows = np.flatnonzero(off[rows + 1] - np.arange(n) >= length) if n else np.empty(0, np.int64)
     if not len(windows):
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     hashed = _hasher(data)
-    at = np.arange(n - GRAM + 1)
-    gram = hashed(at, at + GRAM)
+    at = np.arange(n - gram_bytes + 1)
+    gram = hashed(at, at + gram_bytes)
     least, span = gram >> np.uint64(32) << np.uint64(32) | at.astype(np.uint64), 1
-    while span * 2 <= grams:
+    while span * 2 <= places:
         least, span = np.minimum(least[:-span], least[span:]), span * 2
-    least = np.minimum(least[: len(least) - (grams - span)], least[grams - span :])
+    least = np.minimum(least[: len(least) - (places - span)], least[places - span :])
     anchor_at = (least[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], anchor_at[1:] != anchor_at[:-1]]))
     last = np.concatenate([first[1:], [len(windows)]]) - 1
@@ -70,15 +76,26 @@ def _merged(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     return rows[at], starts[at], reach[np.concatenate([at[1:], [len(rows)]]) - 1] - starts[at]
 
 
-def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
-    """A row per segment, equal ones of a slice but once (``again``); and with a null anchor the intervals that a slice itself repeats."""
+def _stretches(batches, length: int):
+    """Slices of batches with ``text`` as (batch, bytes, offsets of the rows, first byte): a row over `CHUNK_BYTES` in stretches that share ``length - 1`` bytes."""
+    for batch in slices(batches, "text"):
+        data, off = text_buffer(batch.column("text"))
+        if len(data) <= CHUNK_BYTES + length:
+            yield batch, data, off, 0
+            continue
+        for a in range(0, len(data) - length + 1, CHUNK_BYTES):
+            part = data[a : a + CHUNK_BYTES + length - 1]
+            yield batch, part, np.array([0, len(part)], np.int64), a
+
+
+def _segment_rows(texts: DataFrame, length: int, gram_bytes: int) -> DataFrame:
+    """A row per segment of texts (id, tag, base, text), equal ones of a slice but once (``again``); and with a null anchor the intervals that a slice
+    itself repeats. Starts count from the document's, where the text has its ``base``."""
 
     def found(batches):
-        for batch in slices(batches, "text"):
-            data, off = text_buffer(batch.column("text"))
-            rows, starts, sizes, anchors, hashes = segments(data, off, length)
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            tags = batch.column("tag").to_numpy(zero_copy_only=False)
+        for batch, data, off, first in _stretches(batches, length):
+            rows, starts, sizes, anchors, hashes = segments(data, off, length, gram_bytes)
+            ids, tags, base = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag", "base"))
             order = np.lexsort((hashes, anchors))
             same = np.concatenate([[False], (anchors[order][1:] == anchors[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])]) if len(order) else np.empty(0, bool)
             head = order[~same]
@@ -92,33 +109,38 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(signed(np.concatenate([anchors[head], zeros])), mask=none), pa.array(signed(np.concatenate([hashes[head], zeros])), mask=none),
-                    pa.array(ids[r]), pa.array(tags[r]), pa.array((s - off[r]).astype(np.int64)), pa.array(np.concatenate([sizes[head], ml]).astype(np.int32)), pa.array(np.concatenate([size > 1, np.ones(len(mr), bool)])),
+                    pa.array(ids[r]), pa.array(tags[r]), pa.array(base[r]), pa.array((s - off[r] + base[r] + first).astype(np.int64)), pa.array(np.concatenate([sizes[head], ml]).astype(np.int32)), pa.array(np.concatenate([size > 1, np.ones(len(mr), bool)])),
                 ],
-                names=["anchor", "hash", "id", "tag", "start", "size", "again"],
+                names=["anchor", "hash", "id", "tag", "base", "start", "size", "again"],
             )
 
-    return docs.select("id", "tag", "text").mapInArrow(found, "anchor long, hash long, id long, tag long, start long, size int, again boolean")
+    return texts.select("id", "tag", "base", "text").mapInArrow(found, "anchor long, hash long, id long, tag long, base long, start long, size int, again boolean")
 
 
 def suffix_array(data: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Order of all suffixes up to the ends of their segments, equal ones by position. left: bytes from each position to its segment's end."""
-    n = len(data)
-    rank = np.zeros(n + 8, np.int64)
-    rank[:n] = data
-    rank = rank[:n] + 1
-    depth = 1
+    """Order of all suffixes up to the ends of their segments, equal ones by position. left: bytes from each position to its segment's end.
+
+    By prefix doubling from seven bytes on; only groups that are still tied are sorted again."""
+    n, depth = len(data), 7
+    key = np.minimum(left, depth).astype(np.uint64)
+    wide = np.concatenate([data, np.zeros(depth, np.uint8)]).astype(np.uint64)
+    for k in range(depth):
+        key |= np.where(left > k, wide[k : n + k], 0) << np.uint64(8 * (depth - k))
+    order = np.argsort(key, kind="stable")
+    rank, slots, keys = np.empty(n, np.int64), np.arange(n), key[order]
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - depth] = rank[depth:]
-        second[left <= depth] = 0
-        key = rank * (n + 257) + second
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        steps = np.concatenate([[0], (key[order][1:] != key[order][:-1]).cumsum()])
-        rank[order] = steps + 1
-        depth *= 2
-        if steps[-1] == n - 1 or depth >= left.max():
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        rank[order[slots]] = slots[np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))]
+        tied = ~first
+        tied[:-1] |= ~first[1:]
+        slots = slots[tied]
+        if not len(slots) or depth >= left.max():
             return order
+        at = order[slots]
+        second = np.where(left[at] > depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
+        keys = rank[at] * (n + 2) + second
+        by = np.argsort(keys, kind="stable")
+        order[slots], keys, depth = at[by], keys[by], depth * 2
 
 
 def common_lengths(data: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,25 +160,58 @@ def common_lengths(data: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndar
     return np.minimum(out, most)
 
 
+class RunIndex:
+    """The Burrows-Wheeler transform of segments, each with an end mark of its own, by runs.
+
+    Rows are the segments' end marks in their order, then all suffixes. For each run: its byte (below 0 for an end mark), its first row, the row
+    that its first one leads to, and how long the suffixes led to from its first and last row match their neighbours beyond the run."""
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+        n, m = len(data), len(sizes)
+        self.sizes, self.ends = sizes, np.cumsum(sizes)
+        stop = np.repeat(self.ends, sizes)
+        left = stop - np.arange(n)
+        order = suffix_array(data, left)
+        begins = np.zeros(n + 1, bool)
+        begins[np.concatenate([[0], self.ends[:-1]])] = True
+        sa = np.concatenate([self.ends, order])
+        byte = np.where(np.concatenate([np.zeros(m, bool), begins[order]]), -1 - np.arange(n + m), data[sa - 1].astype(np.int64))
+        self.start = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        self.byte, self.last = byte[self.start], np.append(self.start[1:], n + m) - 1
+        size = self.last - self.start + 1
+
+        by_byte = np.lexsort((self.start, self.byte))
+        inner = by_byte[self.byte[by_byte] >= 0]
+        self.leads = np.full(len(self.start), -1)
+        self.leads[inner] = m + np.cumsum(size[inner]) - size[inner]
+
+        # the runs before and after with the same byte, whose ends are the neighbours of this one's where the rows lead
+        near = self.byte[inner][1:] == self.byte[inner][:-1]
+        earlier, later = inner[:-1][near], inner[1:][near]
+        match = common_lengths(data, left, sa[self.last[earlier]] - 1, sa[self.start[later]] - 1)
+        self.above, self.below = np.zeros(len(self.start), np.int64), np.zeros(len(self.start), np.int64)
+        self.above[later], self.below[earlier] = match, match
+
+    def stream(self) -> np.ndarray:
+        """For each position of the segments the longest match, inside its segment, with any other position."""
+        best = np.zeros(int(self.ends[-1]) if len(self.ends) else 0, np.int64)
+        by_size = np.argsort(-self.sizes, kind="stable")
+        row, at, falling = by_size.copy(), self.ends[by_size].copy(), -self.sizes[by_size]
+        up, down = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        for step in range(int(self.sizes.max()) if len(row) else 0):
+            live = int(np.searchsorted(falling, -step, "left"))
+            row, at, up, down = row[:live], at[:live] - 1, up[:live], down[:live]
+            run = np.searchsorted(self.start, row, "right") - 1
+            up = np.where(row == self.start[run], self.above[run], up + 1)
+            down = np.where(row == self.last[run], self.below[run], down + 1)
+            row = self.leads[run] + row - self.start[run]
+            best[at] = np.maximum(up, down)
+        return best
+
+
 def matching_statistics(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each position of the concatenated segments, the longest match, inside its segment, with any other position."""
-    n = len(data)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    left = ends - np.arange(n)
-    order = suffix_array(data, left)
-    begins = ends - np.repeat(sizes, sizes)
-    before = np.where(order > begins[order], data[order - 1].astype(np.int64), -1 - order)  # a segment's first byte has a sign of its own before it
-    edge = np.flatnonzero(before[1:] != before[:-1]) + 1
-    heads, tails = np.concatenate([[0], edge]), np.concatenate([edge - 1, [n - 1]])
-    best = np.zeros(n, np.int64)
-    for samples, step in ((heads, -1), (tails, 1)):  # samples at the run ends: the suffix and its neighbour outside the run
-        inner = samples[(samples + step >= 0) & (samples + step < n)]
-        at = np.full(n, -1, np.int64)
-        at[order[samples]] = 0
-        at[order[inner]] = common_lengths(data, left, order[inner], order[inner + step])
-        origin = np.maximum.accumulate(np.where(at >= 0, np.arange(n), 0))
-        best = np.maximum(best, at[origin] - (np.arange(n) - origin))
-    return best
+    return RunIndex(data, sizes).stream()
 
 
 def _indexed(parts: DataFrame, length: int) -> DataFrame:
@@ -201,42 +256,40 @@ def _indexed(parts: DataFrame, length: int) -> DataFrame:
     return parts.mapInArrow(found, "id long, tag long, start long, size int")
 
 
-def _counted(parts: DataFrame, length: int) -> DataFrame:
-    """The same by counting the hashes of all windows."""
-
-    def windows(batches):
-        for batch in slices(batches, "bytes"):
-            data, off = text_buffer(batch.column("bytes"))
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(off) - length + 1)
-            at = np.arange(len(rows)) + rows * (length - 1)
-            take = pa.array(rows)
-            start = batch.column("start").take(take).to_numpy() + at - off[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(_hasher(data)(at, at + length))), batch.column("id").take(take), batch.column("tag").take(take), pa.array(start), batch.column("whole").take(take)], names=["hash", "id", "tag", "start", "whole"])
-
-    rows = materialize(parts.mapInArrow(windows, "hash long, id long, tag long, start long, whole boolean"))
-    again = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    return rows.join(again, "hash").where(~F.col("whole")).select("id", "tag", "start", F.lit(length).alias("size"))
-
-
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, block_segments: int = BLOCK_SEGMENTS) -> DataFrame:
     """(id, tag, start, size) of marked intervals of documents (id, tag, text); they may overlap."""
-    rows = materialize(_segment_rows(docs, length))
-    anchor, equal = Window.partitionBy("anchor"), Window.partitionBy("anchor", "hash")
-    many = rows.where(F.col("anchor").isNotNull()).withColumn("in_anchor", F.count("*").over(anchor)).where("in_anchor > 1")
-    judged = many.withColumn("whole", (F.count("*").over(equal) > 1) | F.max("again").over(equal)).withColumn("nth", F.row_number().over(equal.orderBy("id", "tag", "start")))
-    judged = materialize(judged.withColumn("kinds", F.count(F.when(F.col("nth") == 1, 1)).over(anchor)))
-    marks = rows.where("anchor is null").select("id", "tag", "start", "size").union(judged.where("whole and not again").select("id", "tag", "start", "size"))
-    wanted = judged.where("kinds > 1 and nth = 1").select("id", "tag", "anchor", "start", "size", "whole", "kinds")
-    texts = _only(docs, materialize(wanted.select("id").distinct()), "left_semi").select("id", "tag", F.col("text").cast("binary").alias("bytes"))
-    places = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "start", "size", "whole", "kinds")).alias("parts"))
-    parts = texts.join(places, ["id", "tag"]).select("id", "tag", "bytes", F.explode("parts").alias("p"))
-    parts = materialize(parts.select("id", "tag", "p.anchor", "p.start", "p.whole", "p.kinds", F.substring("bytes", F.col("p.start") + 1, F.col("p.size")).alias("bytes")))
-    blocks = parts.where(F.col("kinds") <= block_segments).repartition("anchor").sortWithinPartitions("anchor")
-    return marks.union(_indexed(blocks, length)).union(_counted(parts.where(F.col("kinds") > block_segments), length))
+    texts, marks = docs.select("id", "tag", F.lit(0).cast("long").alias("base"), "text"), None
+    for gram_bytes in grams(length):
+        rows = materialize(_segment_rows(texts, length, gram_bytes))
+        crowds = materialize(rows.where("anchor is not null").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+        many = rows.join(crowds, "anchor")
+        kinds = many.groupBy("anchor", "hash").agg(F.count("*").alias("n"), F.max("again").alias("again"), *(F.first(c).alias(c) for c in ("id", "tag", "base", "start", "size")))
+        kinds = materialize(kinds.withColumn("whole", (F.col("n") > 1) | F.col("again")))
+        marked = rows.where("not again").join(kinds.where("whole").select("anchor", "hash"), ["anchor", "hash"]).select("id", "tag", "start", "size")
+        marked = rows.where("anchor is null").select("id", "tag", "start", "size").union(marked)
+        marks = marked if marks is None else marks.union(marked)
+        several = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+        wanted = kinds.join(several, "anchor").select("id", "tag", "base", F.struct("anchor", "start", "size", "whole", "kinds").alias("part"))
+        parts = materialize(_fetched(texts, wanted))
+        blocks = parts.where(F.col("kinds") <= block_segments).repartition("anchor").sortWithinPartitions("anchor")
+        marks = marks.union(_indexed(blocks, length))
+        hot = parts.where(F.col("kinds") > block_segments)
+        if gram_bytes == length or hot.isEmpty():
+            return marks
+        texts = hot.select("id", "tag", F.col("start").alias("base"), F.col("bytes").alias("text"))
+    return marks
+
+
+def _fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of segments (id, tag, base, part) out of the texts (id, tag, base, text) that they were found in."""
+    found = _only(texts, materialize(wanted.select("id").distinct()), "left_semi").select("id", "tag", "base", F.col("text").cast("binary").alias("bytes"))
+    places = wanted.groupBy("id", "tag", "base").agg(F.collect_list("part").alias("parts"))
+    rows = found.join(places, ["id", "tag", "base"]).select("id", "tag", "base", "bytes", F.explode("parts").alias("p"))
+    return rows.select("id", "tag", "p.anchor", "p.start", "p.whole", "p.kinds", F.substring("bytes", (F.col("p.start") - F.col("base") + 1).cast("int"), F.col("p.size")).alias("bytes"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -255,10 +308,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if marks.is_valid and len(marks.values):
                     s, n = (x.to_numpy().astype(np.int64) for x in marks.values.flatten())
                     _, starts, size = _merged(np.zeros(len(s), np.int64), s, n)
-                    step = np.zeros(len(own) + 1, np.int64)
-                    step[starts] += 1
-                    step[starts + size] -= 1
-                    kept.append(own[np.cumsum(step)[:-1] == 0].tobytes())
+                    kept.append(b"".join(own[i:j].tobytes() for i, j in zip([0, *(starts + size).tolist()], [*starts.tolist(), len(own)], strict=True)))
                     out.append([{"start": a, "end": a + b} for a, b in zip(starts.tolist(), size.tolist(), strict=True)])
                 else:
                     kept.append(own.tobytes())
