@@ -1,13 +1,12 @@
 """Rule scoring of tables and images, and the facets of a type.
 
-Rules are a small fixed relation of literals. A table's text is computed once in a projection and each type's score is one expression over it, so
-scoring is a narrow stage without shuffles; the best type is the first of the highest scores.
+Rules are a small fixed relation of literals. A table's text is computed once in a projection and each type's score is one expression over it, built
+as one text rather than call by call, so scoring is a narrow stage without shuffles; the best type is the first of the highest scores.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,20 +15,26 @@ from gridloom.functions import rules
 from gridloom.operators.grids import joined_text, with_text
 
 
-def _points(test: Column, points: float) -> Column:
-    return F.when(test, F.lit(points)).otherwise(F.lit(type(points)(0)))
+def _text(value: str) -> str:
+    return "r'" + value + "'"
 
 
-def table_score(kind: str, text: Column, header: Column) -> Column:
+def _met(words: list[str], column: str) -> str:
+    """How many of some words a text has, as an expression over a literal array: small plans, whatever the vocabulary."""
+    return f"size(filter(array({', '.join(map(_text, words))}), w -> contains({column}, w)))"
+
+
+def table_score(kind: str) -> str:
+    """The score of a type, over the columns table_text and header_text."""
     words, patterns = rules.TABLE_TYPES[kind]
-    terms = [_points(text.contains(w), rules.KEYWORD_SCORE) + _points(header.contains(w), rules.HEADER_SCORE) for w in words]
-    return reduce(add, terms + [F.regexp_count(text, F.lit(p)) * rules.PATTERN_SCORE for p in patterns])
+    counts = " + ".join(f"regexp_count(table_text, {_text(p)})" for p in patterns)
+    return f"{_met(words, 'table_text')} * {rules.KEYWORD_SCORE} + {_met(words, 'header_text')} * {rules.HEADER_SCORE} + ({counts}) * {rules.PATTERN_SCORE}"
 
 
 def class_scores(grids: DataFrame) -> DataFrame:
     """A column ``scores``: (name, score) of each type, in tie order."""
-    texts = with_text(grids)
-    return texts.withColumn("scores", F.array(*(F.struct(F.lit(k).alias("name"), table_score(k, F.col("table_text"), F.col("header_text")).cast("int").alias("score")) for k in rules.TABLE_TYPES)))
+    scores = ", ".join(f"named_struct('name', '{k}', 'score', {table_score(k)})" for k in rules.TABLE_TYPES)
+    return with_text(grids).withColumn("scores", F.expr(f"array({scores})"))
 
 
 def best(scores: Column, otherwise: str) -> Column:
@@ -80,15 +85,16 @@ def table_facets(typed: DataFrame) -> DataFrame:
 
 def image_scores(images: DataFrame, vectors: Column | None = None) -> DataFrame:
     """``scores`` of images with text, width, height and edge_density; vectors: the drawings that count, if any do."""
-    text, aspect = F.lower("text"), F.when(F.col("height") > 0, F.col("width") / F.col("height")).otherwise(0.0)
-    many = (F.lit(0) if vectors is None else vectors) > rules.MANY_VECTORS
+    aspect = F.when(F.col("height") > 0, F.col("width") / F.col("height")).otherwise(0.0)
+    known = images.withColumn("shape", F.struct(F.lower("text").alias("low"), aspect.alias("aspect"), F.coalesce((F.lit(0) if vectors is None else vectors) > rules.MANY_VECTORS, F.lit(False)).alias("many")))
 
-    def score(words: list[str], edges: tuple[float, float], shape: tuple[float, float], vector: bool) -> Column:
-        terms = [_points(text.contains(w), rules.WORD_SCORE) for w in words]
-        terms += [_points(F.col("edge_density").between(*edges), rules.EDGE_SCORE), _points(aspect.between(*shape), rules.ASPECT_SCORE)]
-        return reduce(add, terms + ([_points(many, rules.VECTOR_SCORE)] if vector else []))
+    def score(words: list[str], edges: tuple[float, float], shape: tuple[float, float], vector: bool) -> str:
+        within = lambda column, least, most, points: f"if(coalesce({column} between {least!r}D and {most!r}D, false), {points!r}D, 0D)"
+        terms = [f"coalesce({_met(words, 'shape.low')}, 0) * {rules.WORD_SCORE!r}D", within("edge_density", *edges, rules.EDGE_SCORE), within("shape.aspect", *shape, rules.ASPECT_SCORE)]
+        return " + ".join(terms + ([f"if(shape.many, {rules.VECTOR_SCORE!r}D, 0D)"] if vector else []))
 
-    return images.withColumn("scores", F.array(*(F.struct(F.lit(k).alias("name"), score(*r).alias("score")) for k, r in rules.IMAGE_TYPES.items())))
+    scores = ", ".join(f"named_struct('name', '{k}', 'score', {score(*r)})" for k, r in rules.IMAGE_TYPES.items())
+    return known.withColumn("scores", F.expr(f"array({scores})")).drop("shape")
 
 
 def classify_images(images: DataFrame, vectors: Column | None = None) -> DataFrame:

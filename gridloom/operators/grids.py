@@ -95,9 +95,18 @@ def structure(cells: Column) -> Column:
 def data_types(cells: Column) -> Column:
     """Share of the columns whose filled body cells are nearly all numbers, or nearly none; an empty column is not consistent."""
     body, width = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), widest(cells)
-    column = lambda k: F.filter(F.transform(body, lambda row: F.get(row, k)), present)
-    counts = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.struct(F.size(column(k)).alias("n"), F.size(F.filter(column(k), numeric)).alias("numbers")))
-    good = F.filter(counts, lambda c: (c["n"] > 0) & ((c["numbers"] > c["n"] * F.lit(0.8)) | (c["numbers"] < c["n"] * F.lit(0.2))))
+
+    def counts(k: Column) -> Column:
+        """Filled cells of a column and numbers among them, in one pass over the rows."""
+
+        def add(so_far: Column, row: Column) -> Column:
+            cell = F.get(row, k)
+            return F.when(present(cell), F.struct((so_far["n"] + 1).alias("n"), (so_far["numbers"] + F.when(numeric(cell), 1).otherwise(0)).alias("numbers"))).otherwise(so_far)
+
+        return F.aggregate(body, F.struct(F.lit(0).alias("n"), F.lit(0).alias("numbers")), add)
+
+    columns = F.transform(F.sequence(F.lit(0), width - 1), counts)
+    good = F.filter(columns, lambda c: (c["n"] > 0) & ((c["numbers"] > c["n"] * F.lit(0.8)) | (c["numbers"] < c["n"] * F.lit(0.2))))
     return F.when(F.size(cells) < 2, 0.5).when(width > 0, F.size(good) / width).otherwise(0.0)
 
 

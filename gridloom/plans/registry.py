@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import rules
+from gridloom import extract
 from gridloom.operators import catalog, classify, grids, images, layout
 from gridloom.plans.oracle import ORACLES as _SQL
+from gridloom.sources import files
 from gridloom.sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,8 +81,8 @@ def cataloged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def typed_images(spark: SparkSession, d: str) -> DataFrame:
-    """Classified with edge density 0, which SQL can follow; `img_edge_density` has the measured one."""
-    return classify.classify_images(f6(spark, d).withColumn("edge_density", F.lit(0.0)), F.col("vector_count"))
+    """Classified with the measured edge density."""
+    return classify.classify_images(f6(spark, d).withColumn("edge_density", images.edge_density("pixels")), F.col("vector_count"))
 
 
 @query
@@ -236,7 +238,33 @@ def table_catalog(spark, d):
 
 @query
 def type_histogram(spark, d):
-    return cataloged(spark, d).groupBy("table_type").agg(F.count("*").alias("n"), F.round(F.avg("quality_score"), 6).alias("avg_quality"))
+    return catalog.type_histogram(cataloged(spark, d))
+
+
+@query
+def ranked_types(spark, d):
+    return catalog.ranked(catalog.type_histogram(cataloged(spark, d)), "table_type")
+
+
+@query
+def ranked_methods(spark, d):
+    return catalog.ranked(catalog.histogram(grids.valid(two_methods(spark, d)), "method", "method"), "method")
+
+
+@query
+def filtered_count(spark, d):
+    return catalog.filtered_count(grids.with_quality(grids.clean(grids.valid(f1(spark, d)))), 0.85)
+
+
+@query
+def enforced_catalog(spark, d):
+    """The catalog with the quality filter enforced: numbers count what passes."""
+    return catalog.catalog(two_methods(spark, d), 0.85, enforce=True).select("doc_id", "page_number", "table_index", "method", "table_type", F.round("quality_score", 6).alias("quality_score"))
+
+
+@query
+def throughput(spark, d):
+    return catalog.throughput(f1(spark, d), 60)
 
 
 @query
@@ -271,28 +299,50 @@ def verify_files(spark, d):
 
 @query
 def verify_missing(spark, d):
-    files = f8(spark, d)
-    return catalog.missing_files(files, files.where("on_disk"))
+    listed = f8(spark, d)
+    return catalog.missing_files(listed, listed.where("on_disk"))
 
 
 @query
 def verify_summary(spark, d):
-    files = f8(spark, d)
-    issues = catalog.verify_files(files).select("severity", "issue").unionByName(catalog.missing_files(files, files.where("on_disk")).select("severity", "issue"))
-    return issues.groupBy("severity", "issue").agg(F.count("*").alias("n"))
+    return catalog.verification_summary(catalog.verification(f8(spark, d)))
+
+
+@query
+def first_critical(spark, d):
+    return catalog.first_critical(catalog.verification(f8(spark, d)))
+
+
+@query
+def verify_unparseable(spark, d):
+    """Files with faults that a parser meets: nothing but line breaks, a row wider than the first, a quote left open."""
+    n = F.col("doc_id") % 4
+    spoilt = F.when(n == 0, "\n\r\n").when(n == 1, F.concat("content", F.lit("1,2,3,4,5,6,7,8\n"))).when(n == 2, F.concat("content", F.lit('"open,\n'))).otherwise(F.col("content"))
+    return catalog.verify_files(f8(spark, d).where("content <> ''").withColumn("content", spoilt))
 
 
 @query
 def verify_images(spark, d):
-    return f6(spark, d).where("width < 10 or height < 10").select("doc_id", "width", "height", F.lit("too_small").alias("issue"), F.lit("warning").alias("severity"))
+    return images.too_small(f6(spark, d))
 
 
 @query
 def csv_roundtrip(spark, d):
-    """Cells joined to lines and cut again; ``same`` says whether the grid came back."""
-    padded = grids.pad_rows(grids.clean(f1(spark, d)))
-    back = F.transform(F.split(F.array_join(F.transform("cells", lambda row: F.array_join(row, ",")), "\n"), "\n"), lambda x: F.split(x, ",", -1))
-    return padded.select("doc_id", F.size("cells").alias("n_rows"), (back == F.col("cells")).alias("same"))
+    """Grids written as delimited text and read again; ``same`` says whether a grid came back. Every third has a cell that must be quoted."""
+    odd = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit('say "$1,234.50",\r\nplease'), F.lit(""))).otherwise(F.array(F.lit("plain"), F.lit("x")))
+    given = grids.pad_rows(grids.clean(f1(spark, d))).select("doc_id", "page_number", F.concat(F.array(F.array_append(F.get("cells", F.lit(0)), F.lit("Note"))), F.transform(F.slice("cells", 2, F.size("cells")), lambda row: F.concat(row, odd))).alias("cells"))
+    named = given.withColumn("name", F.format_string("t%d.csv", F.col("doc_id")))
+    path = files.scratch(spark)
+    files.write_grids(named, f"{path}/tables")
+    back = files.read_grids(spark, f"{path}/tables").withColumnRenamed("cells", "back")
+    return named.join(back, "name", "left").select("doc_id", F.size("back").alias("n_rows"), F.coalesce(F.col("back") == F.col("cells"), F.lit(False)).alias("same"))
+
+
+@query
+def csv_export(spark, d):
+    """What the sink writes: each grid's text."""
+    padded = grids.pad_rows(grids.clean(f1(spark, d))).select("doc_id", F.col("doc_id").cast("string").alias("name"), F.transform("cells", lambda row: F.transform(row, lambda c: F.replace(c, F.lit("."), F.lit(',"')))).alias("cells"))
+    return files.table_files(padded).select("name", F.octet_length("content").alias("size_bytes"), F.md5("content").alias("content_md5"))
 
 
 @query
@@ -302,23 +352,18 @@ def package_tables(spark, d):
 
 @query
 def package_semi_join(spark, d):
-    files = f8(spark, d)
-    return files.join(files.where("on_disk").select("name"), "name", "left_semi").select("name")
+    listed = f8(spark, d)
+    return listed.join(listed.where("on_disk").select("name"), "name", "left_semi").select("name")
 
 
 @query
 def package_images(spark, d):
-    typed = typed_images(spark, d)
-    first = typed.orderBy("doc_id").limit(50).select("doc_id", F.lit(True).alias("within"))
-    return typed.join(F.broadcast(first), "doc_id", "left").select(
-        "doc_id", F.col("page_number").alias("page"), F.col("image_index").alias("index"), "image_type", "width", "height", (F.col("text") != "").alias("has_text"), F.col("text").alias("text_content"), "vector_count",
-        F.coalesce("within", F.lit(False)).alias("within_limit"),
-    )
+    return images.records(typed_images(spark, d), 50)
 
 
 @query
 def public_url(spark, d):
-    name = F.concat(F.lit("20240101_000000_"), F.col("name"))
+    name = catalog.stamped(F.col("name"), F.make_timestamp_ntz(F.lit(2024), F.lit(1), (F.col("doc_id") % 28 + 1).cast("int"), F.lit(9), F.lit(30), F.lit(5)))
     return f8(spark, d).where("on_disk").select("name", catalog.public_url(F.lit("https://store.example/"), F.lit("files"), name).alias("url"))
 
 
@@ -334,7 +379,7 @@ def envelope(spark, d):
 
 @query
 def metadata_doc(spark, d):
-    return catalog.metadata_document(cataloged(spark, d))
+    return catalog.metadata_document(cataloged(spark, d).withColumn("quality_score", F.round("quality_score", 6)))
 
 
 @query
@@ -369,9 +414,26 @@ def exhibits(spark, d):
 
 @query
 def img_scan(spark, d):
-    """Pixels as the image struct's bytes and back."""
-    packed = f6(spark, d).select("doc_id", F.unhex(F.array_join(F.transform("pixels", lambda p: F.lpad(F.hex(p), 2, "0")), "")).alias("data"))
-    return packed.select("doc_id", F.octet_length("data").alias("n_pixels"), F.md5(F.hex("data")).alias("pixels_md5"))
+    """Pixels as a three-channel image source's bytes, read as gray."""
+    data = F.unhex(F.array_join(F.transform("pixels", lambda p: F.lpad(F.hex(p), 2, "0")), ""))
+    wide = F.unhex(F.array_join(F.transform("pixels", lambda p: F.concat(F.lpad(F.hex(p), 2, "0"), F.lpad(F.hex(255 - p), 2, "0"), F.lpad(F.hex(F.floor(p / 2)), 2, "0"))), ""))
+    packed = f6(spark, d).select("doc_id", data.alias("data"), wide.alias("wide"))
+    read = packed.select("doc_id", images.gray("data", F.lit(1)).alias("gray"), images.gray("wide", F.lit(3)).alias("mixed"))
+    return read.select("doc_id", F.size("gray").alias("n_pixels"), F.array_join(F.col("gray").cast("array<string>"), ",").alias("gray"), F.array_join(F.col("mixed").cast("array<string>"), ",").alias("mixed"))
+
+
+@query
+def img_color(spark, d):
+    wide = F.unhex(F.array_join(F.transform("pixels", lambda p: F.concat(F.lpad(F.hex(p), 2, "0"), F.lpad(F.hex(255 - p), 2, "0"), F.lpad(F.hex(F.floor(p / 2)), 2, "0"))), ""))
+    found = f6(spark, d).select("doc_id", wide.alias("wide")).select("doc_id", images.colors("wide", F.lit(3)).alias("color"))
+    return found.select("doc_id", F.round("color.variance", 6).alias("color_variance"), *(F.round(F.col("color.means")[k], 6).alias(f"mean_{c}") for k, c in enumerate(("red", "green", "blue"))))
+
+
+@query
+def image_index(spark, d):
+    """Twenty images a document, numbered on their pages, small ones too."""
+    per_page = f6(spark, d).groupBy(F.floor(F.col("doc_id") / 20).alias("doc"), "page_number").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("vec_id"), "width", "height"))).alias("images"))
+    return images.numbered(per_page.withColumnRenamed("doc", "doc_id"))
 
 
 @query
@@ -403,8 +465,8 @@ def image_union(spark, d):
 
 @query
 def image_filename(spark, d):
-    method = F.when(F.col("vector_count") >= 10, "vector_render").otherwise("embedded")
-    return typed_images(spark, d).select("doc_id", images.image_filename(F.col("page_number"), method, F.col("image_index"), F.col("image_type")).alias("filename"))
+    typed = typed_images(spark, d)
+    return typed.select("doc_id", images.image_filename(F.col("page_number"), images.is_vector_render(typed), F.col("image_index"), F.col("image_type")).alias("filename"))
 
 
 @query
@@ -435,8 +497,17 @@ def img_quality(spark, d):
 
 @query
 def img_gridlines(spark, d):
-    rows, columns = images.grid_lines(images.straight_runs(F.col("pixels"), dark=200))
-    return f6(spark, d).select("doc_id", rows.alias("estimated_rows"), columns.alias("estimated_columns"))
+    found = f6(spark, d).select("doc_id", images.straight_runs("pixels", dark=200).alias("segments"))
+    rows, columns = images.grid_lines(F.col("segments"))
+    return found.select("doc_id", rows.alias("estimated_rows"), columns.alias("estimated_columns"))
+
+
+@query
+def img_segments(spark, d):
+    """Lines along the axes of the edge map, of six pixels or more."""
+    found = f6(spark, d).select("doc_id", images.edge_segments("pixels", least=6, gap=1).alias("segments"))
+    rows, columns = images.grid_lines(F.col("segments"))
+    return found.select("doc_id", rows.alias("estimated_rows"), columns.alias("estimated_columns"))
 
 
 @query
@@ -465,14 +536,12 @@ def facet_scientific(spark, d):
 
 @query
 def image_stats(spark, d):
-    return f6(spark, d).agg(
-        F.count_if((F.col("width") >= 100) & (F.col("height") >= 100)).alias("embedded_images"), F.count_if(F.col("vector_count") >= 10).alias("vector_images"), F.count_distinct("page_number").alias("pages_with_images")
-    )
+    return images.statistics(f6(spark, d))
 
 
 @query
 def ocr_rate(spark, d):
-    return f6(spark, d).agg(F.round(F.coalesce(F.avg((F.trim("text") != "").cast("double")), F.lit(0.0)), 6).alias("ocr_rate"))
+    return images.text_rate(f6(spark, d))
 
 
 @query
@@ -480,7 +549,36 @@ def enhance_brightness(spark, d):
     return f6(spark, d).select("doc_id", F.array_join(images.lit_up(F.col("pixels")).cast("array<string>"), ",").alias("pixels"))
 
 
+def _pixels(column: Column) -> Column:
+    return F.array_join(column.cast("array<string>"), ",").alias("pixels")
+
+
 @query
 def enhance_line_art(spark, d):
-    out = f6(spark, d).select("doc_id", images.line_art("pixels").alias("p"))
-    return out.select("doc_id", F.size("p").alias("n_pixels"), F.round(F.array_min("p"), 6).alias("least"), F.round(F.array_max("p"), 6).alias("most"))
+    return f6(spark, d).select("doc_id", images.line_art("pixels").alias("p")).select("doc_id", _pixels(F.col("p")))
+
+
+@query
+def enhance_screenshot(spark, d):
+    return f6(spark, d).select("doc_id", images.screen("pixels").alias("p")).select("doc_id", _pixels(F.col("p")))
+
+
+@query
+def enhance_by_type(spark, d):
+    return typed_images(spark, d).select("doc_id", "image_type", images.enhanced("pixels", "image_type").alias("p")).select("doc_id", "image_type", _pixels(F.col("p")))
+
+
+@query
+def extract_tables(spark, d):
+    return extract.extract_tables(two_methods(spark, d), extract.TableOptions(page_start=2, page_max=6, limit=1000)).records.select("doc_id", "page_number", "table_index", "filename")
+
+
+@query
+def extract_images(spark, d):
+    return extract.extract_images(f6(spark, d), extract.ImageOptions(page_limit=9, limit=200)).records.select("doc_id", "page_number", "method", "image_type", "filename")
+
+
+@query
+def extract_all(spark, d):
+    """As extract_images does, whose statistics it returns."""
+    return extract.extract_all(f6(spark, d), extract.ImageOptions(page_limit=9)).statistics

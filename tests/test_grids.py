@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import extract, schemas
 from gridloom.functions.text import clean_cell, lenient_number
-from gridloom.operators import classify, grids
+from gridloom.operators import catalog, classify, grids
 from gridloom.sources import tables
 
 SCHEMA = "doc_id bigint, page_number int, method string, method_rank int, raw_index int, cells array<array<string>>"
@@ -99,3 +101,33 @@ def test_vocabulary_grids_hold_every_order(spark):
     assert len(found) == 5 and all(r.cells[0] == ["Metric", "Amount", "Period"] for r in found)
     assert got[9, 1] + got[9, 2] + got[9, 3] == [f"CHF {i}.50" for i in range(46)] and [len(got[9, k]) for k in (1, 2, 3)] == [20, 20, 6]
     assert len(got[4, 1]) == 20 and got[None, 1] == ["1.50"]
+
+
+def test_extract_tables(spark):
+    good = [["name", "amount"], ["revenue", "1"], ["cost", "2"]]
+    rows = [(1, 1, "lines", 1, 1, good), (1, 1, "stream", 3, 1, good), (1, 2, "lines", 1, 1, [["a"]]), (1, 3, "lines", 1, 1, [["Free", "cash flow"], ["x", "y"]]), (1, 9, "lines", 1, 1, good), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schemas.GRID)
+    present = spark.createDataFrame([("table_p001_t001_lines.csv",)], "name string")
+    found = extract.extract_tables(df, extract.TableOptions(page_max=5), present)
+    assert [(r.page_number, r.table_index, r.filename) for r in found.records.orderBy("page_number").collect()] == [(1, 1, "table_p001_t001_lines.csv"), (3, 1, "table_p003_t001_lines.csv")]
+    assert [r.name for r in found.issues.collect()] == ["table_p003_t001_lines.csv"] and [r.place for r in found.statistics.collect()] == [1, 2]
+    assert extract.extract_tables(df, extract.TableOptions(page_start=9, verify=False), present).records.count() == 1
+    assert extract.extract_tables(df, extract.TableOptions(limit=1)).records.count() == 1 and extract.extract_tables(df, extract.TableOptions(limit=-1)).records.count() == 0
+    document = json.loads(extract.table_documents(found.records).first().document)
+    assert document["tables_extracted"] == 2 and document["configuration"]["min_quality"] == 0.3 and [t["page_number"] for t in document["tables"]] == [1, 3]
+
+
+def test_enforced_filter_numbers_what_passes(spark):
+    poor, good = [["1", ""], ["", "2"]], [["name", "amount"], ["revenue", "1"], ["cost", "2"]]
+    df = spark.createDataFrame([(1, 1, "lines", 1, 1, poor), (1, 1, "text", 2, 1, good)], schemas.GRID)
+    assert [(r.table_index, r.method) for r in catalog.catalog(df, 0.8, enforce=True).collect()] == [(1, "text")]
+    assert sorted((r.table_index, r.method) for r in catalog.catalog(df, 0.8).collect()) == [(1, "lines"), (2, "text")]
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 5)], "kind string, n long")
+    assert [(r.kind, r.place) for r in catalog.ranked(df, "kind").collect()] == [("c", 1), ("a", 2), ("b", 3)]
+    scored = spark.createDataFrame([(0.9,), (0.1,), (None,)], "quality_score double")
+    assert catalog.filtered_count(scored, 0.5).first()[:] == (1, 2)
+    pages = spark.createDataFrame([(1, 1), (1, 1), (1, 2)], "doc_id long, page_number int")
+    assert catalog.throughput(pages, 4).first()[0] == 0.5 and catalog.throughput(pages, 0).first()[0] is None
