@@ -104,17 +104,17 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(rep, set) of the documents in ``ids`` (rep, s1)."""
+    """(rep, set) of the classes in ``ids`` (rep, doc, s1), each read from one of its documents."""
 
     def rows(batches):
         for batch in slices(batches, "text"):
             sets = shingle_sets(*text_buffer(batch.column(1)), n)
             names = np.array([mix(s ^ _A).sum(dtype=np.uint64) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(names)), as_list(signed(np.concatenate(sets)), np.array([len(s) for s in sets]), pa.int64())], names=["rep", "s1", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(names)), as_list(signed(np.concatenate(sets)), np.array([len(s) for s in sets]), pa.int64())], names=["doc", "s1", "set"])
 
-    wanted = ids.select(F.col("rep").alias("doc_id"))
+    wanted = ids.select(F.col("doc").alias("doc_id")).distinct()
     some = docs.select("doc_id", "text").join(F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    return some.mapInArrow(rows, "rep long, s1 long, set array<long>").join(ids, ["rep", "s1"], "left_semi").groupBy("rep").agg(F.first("set").alias("set"))
+    return some.mapInArrow(rows, "doc long, s1 long, set array<long>").join(ids, ["doc", "s1"]).groupBy("rep").agg(F.first("set").alias("set"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, per
     if pairs.isEmpty():
         return pairs
     ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = _sets_of(docs, materialize(ends.join(classes.select("rep", "s1"), "rep")), n)
+    sets = _sets_of(docs, materialize(ends.join(classes.select("rep", "doc", "s1"), "rep")), n)
     left = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -145,7 +145,7 @@ def _likely_pairs(shared: DataFrame, comps: DataFrame, percent: int, seed: int)
     ratio = math.log(100 / percent) / 2
     rows = _labelled(shared, comps, "gid").withColumn("like", F.floor(F.log("n") / ratio))
     named = F.struct("comp", F.xxhash64("gid", F.lit(seed)), "gid")
-    leads = rows.groupBy("token", "like").agg(F.min(named).alias("lo"), F.max(named).alias("hi")).where("lo.comp <> hi.comp")
+    leads = materialize(rows.groupBy("token", "like").agg(F.min(named).alias("lo"), F.max(named).alias("hi")).where("lo.comp <> hi.comp"))
     partner = F.when(F.col("comp") == F.col("lo.comp"), F.col("hi.gid")).otherwise(F.col("lo.gid"))
     counts = rows.join(leads, ["token", "like"]).groupBy("gid", "n", partner.alias("partner")).agg(F.count("*").alias("c"))
     best = counts.where(F.col("c") * 4 >= _prefix_length(F.col("n"), percent)).groupBy("gid").agg(F.max(F.struct("c", "partner")).alias("best"))
@@ -156,16 +156,19 @@ def _remaining_pairs(shared: DataFrame, members: DataFrame, prefixes: DataFrame,
     """Every pair of members in different components whose groups can still reach the similarity.
 
     Such groups share a prefix shingle, and from the first one on both have at least as many shingles left as must be common; so a pair is
-    joined only on shingles early enough in both prefixes for that, and its whole prefixes must leave the overlap within reach."""
+    joined only on shingles early enough in both prefixes for that, and its whole prefixes must leave the overlap within reach. Groups meet on the
+    shingle and a band of sizes: the smaller one's own band or the next, beyond which no two are similar enough."""
     labels = materialize(_labelled(members.select("rep", "gid"), comps, "rep"))
     rows = shared.join(labels.select("gid", "comp").distinct(), "gid")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rows = materialize(rows.join(mixed, "token"))
-    x, y = (rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("gid", "comp", "n", "pos"))) for k in "xy")
-    sizes = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("comp_x") < F.col("comp_y"))
+    mixed = materialize(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"))
+    rows = materialize(rows.join(mixed, "token").withColumn("band", F.floor(F.log("n") / math.log(100 / percent) - 1e-9) if percent < 100 else F.col("n")))
+    x, y = (rows.select("token", "band", *(F.col(c).alias(f"{c}_{k}") for c in ("gid", "comp", "n", "pos"))) for k in "xy")
+    x = x.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("comp_x") < F.col("comp_y")))
+    sizes = (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("comp_x") != F.col("comp_y")) & smaller
     need = (F.col("n_x") + F.col("n_y")) * percent
     early = (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) * (100 + percent)) >= need
-    pairs = materialize(x.join(y, "token").where(sizes & early).select("gid_x", "comp_x", "n_x", "gid_y", "comp_y", "n_y").distinct())
+    pairs = materialize(x.join(y, ["token", "band"]).where(sizes & early).select("gid_x", "comp_x", "n_x", "gid_y", "comp_y", "n_y").distinct())
     left, right = (prefixes.select(F.col("gid").alias(f"gid_{k}"), F.col("prefix").alias(f"prefix_{k}")) for k in "xy")
     both = F.size(F.array_intersect("prefix_x", "prefix_y"))
     rest = lambda n: F.col(n) - _prefix_length(F.col(n), percent)
@@ -176,17 +179,22 @@ def _remaining_pairs(shared: DataFrame, members: DataFrame, prefixes: DataFrame,
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_hash) of each row of ``docs`` (doc_id, text); links join sets with 100 * intersection >= percent * union.
+    """(doc_id, n_shingles, component_id, text_hash, group_id) of each row of ``docs`` (doc_id, text); links join sets with 100 * intersection >= percent * union.
 
-    text_hash is Spark's xxhash64 of the text; it tells rows with equal ids apart."""
+    text_hash is Spark's xxhash64 of the text; it tells rows with equal ids apart. group_id numbers the components, and tells those apart that have
+    the same smallest id; it is null for empty sets and null ids."""
     rows = materialize(_prefixes(docs, n, percent))
     named = rows.where("n > 0 and doc_id is not null")
-    classes = materialize(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("p1").alias("p1"), F.first("p2").alias("p2")))
-    groups = named.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), (F.min("s1") < F.max("s1")).alias("several"))
+    # a class is a set, whatever ids it occurs under: its name is a number of its own, in the order of its smallest id, since copies mostly come after what
+    # they were copied from and a group's smallest name is the one that others are compared with first; ids come back with the labels
+    found = named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
+    classes = materialize(found.orderBy("doc").withColumn("rep", F.monotonically_increasing_id()))
+    ids = materialize(classes.groupBy("p1", "p2", "n").agg(F.min("rep").alias("gid"), (F.count("*") > 1).alias("several")))
+    groups = named.groupBy("p1", "p2", "n").agg(F.first("prefix").alias("prefix")).join(ids, ["p1", "p2", "n"])
     index = groups.select("gid", "n", "several", F.posexplode("prefix").alias("pos", "token"))
-    frequent = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    frequent = materialize(index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
     shared = materialize(index.where("several").union(index.where("not several").join(frequent, "token").select(*index.columns)).drop("several"))
-    members = materialize(classes.join(classes.groupBy("p1", "p2", "n").agg(F.min("rep").alias("gid")), ["p1", "p2", "n"]).select("rep", "gid"))
+    members = materialize(classes.join(ids, ["p1", "p2", "n"]).select("rep", "gid"))
 
     comps = components(_verified(docs, members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")), classes, n, percent))
     for k in range(CHEAP_ROUNDS):
@@ -200,7 +208,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     if not last.isEmpty():
         comps = components(comps.union(last))
 
-    labels = _labelled(classes.select("s1", "s2", "n", "rep"), comps, "rep").drop("rep")
+    own = classes.select(F.col("rep").alias("a"), "doc")
+    nodes = materialize(comps.union(comps.select("b", "b").distinct()).join(own, "a"))
+    least = materialize(nodes.groupBy("b").agg(F.min("doc").alias("least")))
+    labels = classes.join(nodes.join(least, "b").select(F.col("a").alias("rep"), F.col("b").alias("group"), "least"), "rep", "left").select("s1", "s2", "n", F.coalesce("least", "doc").alias("component_id"), F.coalesce("group", "rep").alias("group_id"))
     return rows.select("doc_id", "text_hash", "n", "s1", "s2").join(labels, ["s1", "s2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"), "text_hash"
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id")
     )
