@@ -45,10 +45,13 @@ def _local_root() -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later stages neither recompute it nor depend on one executor."""
-    path = shared_dir(df.sparkSession)
+    """Write ``df`` once to the shared folder and read it back: later stages neither recompute it nor depend on one executor. Deleted when the driver ends."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_fields(df: DataFrame, **kinds: str) -> StructType:
