@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import gram_hashes, mix, signed, slices, span_hashes, text_buffer, word_spans
+from gridloom.llm.common import gram_hashes, materialize, mix, signed, slices, span_hashes, text_buffer, word_spans
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 COMMON_WORDS, MIN_REFERENCE, MIN_CHARS, MIN_JUDGED_WORDS = 64, 2000, 200, 50
@@ -26,6 +26,8 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.5
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"[#*$%&|<>]"[1:-1])] = True
+#: Distinct words that a worker counts before it hands them on.
+HELD_WORDS = 1 << 20
 #: Character classes by byte: 0 lower, 1 upper, 2 digit, 3 white space, 4 sentence marks, 5 other ASCII marks, 6 control, 7 beyond ASCII (counted once a character).
 _CLASS = np.full(256, 7, np.int8)
 _CLASS[:32], _CLASS[127], _CLASS[32:127] = 6, 6, 5
@@ -97,9 +99,19 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def references(docs: DataFrame, common: int = COMMON_WORDS, min_words: int = MIN_REFERENCE) -> dict[str, tuple]:
     """For each language its class counts, the hashes of its commonest words, and their counts with the rest's last. Over all documents."""
 
+    def sums(words: dict):
+        for lang, (keys, counts, classes) in words.items():
+            n = len(keys) + 1 + _CLASSES
+            kind = np.concatenate([np.zeros(n - 1 - _CLASSES), [1], np.full(_CLASSES, 2)]).astype(np.int32)
+            key = np.concatenate([signed(keys), [0], np.arange(_CLASSES)])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(kind), pa.array(key), pa.array(np.concatenate([counts, [counts.sum()], classes]))], names=["lang", "kind", "key", "n"])
+
     def counted(batches):
         words: dict = {}
         for batch in slices(batches, "text"):
+            if sum(len(w[0]) for w in words.values()) > HELD_WORDS:
+                yield from sums(words)
+                words.clear()
             data, off = text_buffer(batch.column("text"))
             starts, ends, rows = word_spans(data, off)
             hashes, classes = span_hashes(data, starts, ends, lower=True), class_histogram(data, off)
@@ -111,14 +123,12 @@ def references(docs: DataFrame, common: int = COMMON_WORDS, min_words: int = MIN
                 held[2] += classes[own].sum(0)
                 all_keys, back = np.unique(np.concatenate([held[0], keys]), return_inverse=True)
                 held[0], held[1] = all_keys, np.bincount(back, weights=np.concatenate([held[1], counts])).astype(np.int64)
-        for lang, (keys, counts, classes) in words.items():
-            n = len(keys) + 1 + _CLASSES
-            kind = np.concatenate([np.zeros(n - 1 - _CLASSES), [1], np.full(_CLASSES, 2)]).astype(np.int32)
-            key = np.concatenate([signed(keys), [0], np.arange(_CLASSES)])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(kind), pa.array(key), pa.array(np.concatenate([counts, [counts.sum()], classes]))], names=["lang", "kind", "key", "n"])
+        yield from sums(words)
 
-    sums = docs.select("lang", "text").mapInArrow(counted, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")))
+    totals = docs.select("lang", "text").mapInArrow(counted, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    totals = materialize(totals)
+    spoken = totals.where((F.col("kind") == 1) & (F.col("n") >= min_words)).select("lang")  # one language at most for so many words of the corpus
+    ranked = totals.join(spoken, "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")))
     out: dict = {}
     # one limit on the rank, so that each partition sends its highest alone; it leaves the few rows of the other kinds whole
     for r in ranked.where(F.col("rank") <= max(common, _CLASSES)).collect():
@@ -132,7 +142,7 @@ def references(docs: DataFrame, common: int = COMMON_WORDS, min_words: int = MIN
     done = {}
     for lang, (classes, words, total) in sorted(out.items()):
         if words and total[0] >= min_words:
-            keys = sorted(words)
+            keys = sorted(words, key=lambda k: k % 2**64)  # as unsigned, in which they are looked up
             counts = np.array([words[k] for k in keys], float)
             done[lang] = classes, np.array(keys, np.int64).view(np.uint64), np.append(counts, total[0] - counts.sum())
     return done
@@ -150,21 +160,26 @@ def judge(docs: DataFrame, refs: dict[str, tuple], max_class: float = MAX_CLASS_
             n = batch.num_rows
             counts = base_counts(data, off, spans)
             hashes, classes = span_hashes(data, starts, ends, lower=True), class_histogram(data, off)
-            langs = batch.column("lang").to_pylist()
-            by_lang = {}
-            for lang, (ref_classes, ref_words, ref_counts) in refs.items():
-                order = np.argsort(ref_words)
-                at = np.minimum(np.searchsorted(ref_words, hashes, sorter=order), len(order) - 1)
-                at = np.where(ref_words[order[at]] == hashes, order[at], len(order))
-                histogram = np.bincount(of * (len(order) + 1) + at, minlength=n * (len(order) + 1)).reshape(n, -1)
-                by_lang[lang] = js_distance(classes, ref_classes), js_distance(histogram, ref_counts)
-            pairs = np.zeros((2, n))
-            if by_lang:
-                near = np.stack([c + w for c, w in by_lang.values()]).argmin(0)
-                names = list(by_lang)
-                for i in range(n):
-                    own = by_lang[langs[i] if langs[i] in by_lang else names[near[i]]]
-                    pairs[:, i] = own[0][i], own[1][i]
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            pairs, told = np.zeros((2, n)), np.zeros(n, bool)
+
+            def distances(lang, mine):
+                """The distances of the rows ``mine`` from a language's reference."""
+                ref_classes, ref_words, ref_counts = refs[lang]
+                place = np.cumsum(mine) - 1
+                said = mine[of]
+                at = np.minimum(np.searchsorted(ref_words, hashes[said]), len(ref_words) - 1)
+                at = np.where(ref_words[at] == hashes[said], at, len(ref_words))
+                k = int(mine.sum())
+                histogram = np.bincount(place[of[said]] * (len(ref_words) + 1) + at, minlength=k * (len(ref_words) + 1)).reshape(k, -1)
+                return np.stack([js_distance(classes[mine], ref_classes), js_distance(histogram, ref_counts)])
+
+            for lang in {x for x in langs if x in refs}:
+                mine = langs == lang
+                pairs[:, mine], told[mine] = distances(lang, mine), True
+            if refs and not told.all():  # the nearest of any language
+                every = np.stack([distances(lang, ~told) for lang in refs])
+                pairs[:, ~told] = np.take_along_axis(every, every.sum(1).argmin(0)[None, None, :], 0)[0]
             n_chars = classes.sum(1)
             words = counts["n_words"]
             failed = (words < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
