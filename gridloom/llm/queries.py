@@ -53,7 +53,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), where=fold != 0)
     rows = toxicity.scored(docs, model)
-    return rows.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from gridloom.llm.common import free_name, gram_hashes, mix, release, slices, sp
 BITS, MAX_ROWS, EPOCHS, STEMS = 20, 10_000, 4, (4, 6, 8)
 #: L1 is L1_RATE times the root of the number of training rows, as the noise in a coordinate's gradient sum is.
 ALPHA, BETA, L1_RATE, L2 = 0.2, 1.0, 0.14, 1.0
-SALT = np.uint64(0x5851F42D4C957F2D)
+SALT = 0x5851F42D4C957F2D
 
 
 def slots(data: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -31,13 +31,13 @@ def slots(data: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndarr
     words = span_hashes(data, starts, ends, lower=True)
     pair, at = gram_hashes(words, rows, 2)
     skip = np.flatnonzero(rows[2:] == rows[:-2]) if len(rows) > 2 else np.empty(0, np.int64)
-    skips = mix(mix(words[skip] ^ SALT) ^ words[skip + 2])
+    skips = mix(mix(words[skip] ^ np.uint64(SALT)) ^ words[skip + 2])
     shift = np.uint64(64 - bits)
     found, of = [mix(words) >> shift, mix(pair) >> shift, skips >> shift], [rows, rows[at], rows[skip]]
     for size in STEMS:
         long = np.flatnonzero(ends - starts > size)
         stems = span_hashes(data, starts[long], starts[long] + size, lower=True)
-        found.append(mix(stems ^ SALT * np.uint64(size)) >> shift)
+        found.append(mix(stems ^ np.uint64(SALT * size % 2**64)) >> shift)
         of.append(rows[long])
     return np.concatenate(found).astype(np.int64), np.concatenate(of)
 
