@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import collections
 import html as html_module
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, html, ngram_join, packing, quality, queries, suffix, toxicity
+from gridloom.llm.common import text_buffer
 from gridloom.llm.components import components
 from tests.conftest import DATA
 
@@ -76,6 +79,36 @@ def test_jaccard_components(spark, texts, n, percent):
     assert got == {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def test_jaccard_ids_with_several_texts(spark):
+    rng = random.Random(11)
+    a, b = rare_words(rng, 150), rare_words(rng, 150)
+    rows = [(10, " ".join(a)), (10, " ".join(b)), (20, " ".join(edited(rng, a, 1))), (30, " ".join(edited(rng, b, 1)))]
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()) == [(10, 10), (10, 10), (20, 10), (30, 10)]
+    # forty ids, each with several of a few groups' texts
+    bases = [rare_words(rng, 120) for _ in range(12)]
+    rows = [(rng.randrange(40), " ".join(edited(rng, rng.choice(bases), rng.randrange(0, 6)))) for _ in range(110)]
+    sets = [shingles(t, 5) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                parent[root(x)] = root(y)
+    least = collections.defaultdict(lambda: 99)
+    for x, (i, _) in enumerate(rows):
+        least[root(x)] = min(least[root(x)], i)
+    want = collections.Counter((i, len(sets[x]), least[root(x)]) for x, (i, _) in enumerate(rows))
+    got = ngram_join.jaccard_components(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    # a group's number tells groups apart that share their smallest id
+    assert len({(r.component_id, r.group_id) for r in got}) == len({root(x) for x in range(len(rows))})
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "q r s t u v")]
     got = ngram_join.jaccard_components(frame(spark, rows)).collect()
@@ -104,6 +137,40 @@ def test_best_fit(sizes):
         assert at == fill[b] <= 64
 
 
+def test_unit_encoder(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tok, own = Tokenizer.from_file(path), packing.UnitEncoder(path)
+
+    def same(texts):
+        ids, counts = own.encode(*text_buffer(pa.array(texts)))
+        for part, e in zip(np.split(ids, np.cumsum(counts)[:-1]), tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False), strict=True):
+            assert part.tolist() == e.ids
+
+    every = [chr(c) for c in range(1, 0x3400) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x3400, 0x1FFFF, 97) if not 0xD800 <= c < 0xE000]
+    same([f"a{c}b {c} {c}{c} C{c}1 '{c} .{c}. s{c}'s" for c in every])
+    same(["it's 'street ''s don't we'll they're I've I'm he'd 'l 'r 'v 'rev 'llx 'LL 'S can't. \"'s x'", "", None, "<|endoftext|> a<|endoftext|>b <| x", "x" * 20_000, "'s", "'", "a'"])
+    rng, alphabet = random.Random(3), [*"aZ'.sStTrevlLdm0 9\n<|>", "\u00e9", "\u00c9", "\u0301", "\u0436", "\u00a0", "\U0001f600"]
+    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 300)  # long rows in stretches
+    monkeypatch.setattr(packing, "CACHE_UNITS", 500)  # and units forgotten on the way
+    same([*odd, "y" * 1000 + " " + "z" * 700, " ".join(odd)])
+
+
+def test_packing_takes_any_names_and_ids(spark):
+    pieces = spark.range(50).select("id", (F.col("id") + 1).alias("length"), F.lit("x").alias("bin"), F.lit(7).alias("offset"), F.lit("y").alias("root"))
+    got = packing.pack(pieces, 100, 0).collect()
+    assert len(got) == 50 and {(r.bin, r.root) for r in got} == {("x", "y")}
+    ends = collections.defaultdict(list)
+    for r in got:
+        ends[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(o for o, _ in p) == [0, *np.cumsum([n for _, n in sorted(p)])[:-1]] for p in ends.values())
+    named = spark.createDataFrame([("a", "x y"), (None, None)], "doc_id string, text string")
+    assert {r.doc_id for r in packing.pack_documents(named, packing.tokenizer_path()).collect()} == {"a", None}
+    assert packing.pack_documents(named.limit(0), packing.tokenizer_path()).count() == 0
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
@@ -153,6 +220,7 @@ def test_matching_statistics(parts):
 
 @pytest.mark.parametrize("block_segments", [suffix.BLOCK_SEGMENTS, 2])
 def test_repeats(spark, texts, block_segments, monkeypatch):
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 3000)  # long texts in stretches
     rng = random.Random(2)
     whole = " ".join(rare_words(rng, 200))
     rows = [*texts, (600, whole), (601, "head " + whole[100:700] + " tail"), (602, whole[300:480]), (603, "ab" * 400), (604, "é" * 150), (605, whole[:400] + whole[:400]), (606, whole), (606, whole), (None, whole)]
@@ -215,6 +283,57 @@ def test_quality_references_count_all_rows(spark):
     assert one["yy"][2][-1] == 0 and quality.judge(df, quality.references(df)).count() == 120
 
 
+def test_quality_kept_by_brute_force(spark):
+    """The verdict of every document of a corpus in three languages, from histograms counted word by word."""
+    rng = random.Random(6)
+    vocabularies = {lang: [f"{a}{b}" for a in first for b in ("", "re", "on", "st", "ti", "an", "er")] for lang, first in (("xx", ["the", "and", "of", "in"]), ("yy", ["der", "und", "von", "bei"]), ("zz", ["q"]))}
+    rows = []
+    for i in range(160):
+        lang = ("xx", "yy", None, "qq")[i % 4]
+        own = vocabularies[lang if lang in ("xx", "yy") else "xx" if i % 3 else "yy"]
+        words = rng.choices(own, [1 / (k + 3) for k in range(len(own))], k=rng.randrange(10, 220))
+        if i % 10 == 0:
+            words = [f"{w}%%{rng.randrange(99)}" for w in words]
+        if i % 10 == 1:
+            words = [f"n{rng.randrange(10**6)}" for _ in words]
+        rows.append((i, " ".join(words).upper() if i % 10 == 2 else " ".join(words), lang, 0))
+    rows += [(900, None, "xx", 0), (901, "", None, 0), (902, "Q " * 30, "zz", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+
+    def classes(t):
+        out = [0] * 8
+        for c in t:
+            out[0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in " \t\n\r\x0b\x0c" else 4 if c in ".,;:!?'\"()-" else 7 if ord(c) > 127 else 6 if ord(c) < 32 or ord(c) == 127 else 5] += 1
+        return out
+
+    def distance_of(p, q):
+        p, q = ([x / max(sum(v), 1e-300) for x in v] for v in (p, q))
+        part = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b, strict=True) if x)
+        return math.sqrt(min(1, max(0, (part(p, q) + part(q, p)) / 2)))
+
+    said = {lang: collections.Counter(w for r in rows if r[2] == lang for w in re.findall(WORD, (r[1] or "").lower())) for lang in {r[2] for r in rows} - {None}}
+    tops = {lang: c.most_common() for lang, c in said.items() if c.total() >= 300}
+    assert set(tops) == {"xx", "yy", "qq"}
+    common = next(k for k in range(6, 30) if all(t[k - 1][1] > t[k][1] for t in tops.values()))  # no tie at the edge
+    refs = {lang: ([sum(x) for x in zip(*(classes(r[1] or "") for r in rows if r[2] == lang), strict=True)], dict(t[:common]), said[lang].total()) for lang, t in tops.items()}
+    judged = {r.doc_id: r for r in quality.judge(df, quality.references(df, common=common, min_words=300)).collect()}
+    verdicts = collections.Counter()
+    for i, t, lang, _ in rows:
+        words = re.findall(WORD, (t or "").lower())
+        pairs = {}
+        for name, (ref, top, total) in refs.items():
+            own = collections.Counter(words)
+            histogram = [own[w] for w in top] + [len(words) - sum(own[w] for w in top)]
+            pairs[name] = distance_of(classes(t or ""), ref), distance_of(histogram, [*top.values(), total - sum(top.values())])
+        a, b = pairs[lang] if lang in pairs else min(pairs.values(), key=sum)
+        r = judged[i]
+        assert (r.class_distance, r.word_distance) == (pytest.approx(a, abs=1e-9), pytest.approx(b, abs=1e-9))
+        odd = len(t or "") >= quality.MIN_CHARS and a > quality.MAX_CLASS_DISTANCE or len(words) >= quality.MIN_JUDGED_WORDS and b > quality.MAX_WORD_DISTANCE
+        assert r.kept == (not r.base_failed and not odd)
+        verdicts[r.base_failed, r.kept] += 1
+    assert len(verdicts) == 3
+
+
 def test_quality_word_limit_lies_below_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
@@ -229,6 +348,32 @@ def test_js_distance():
     assert got[0] == 0 and got[2] == 1 and got[1] == pytest.approx(np.sqrt(0.5 * (np.log2(4 / 3) + 0.5 * np.log2(2 / 3) + 0.5)))
 
 
+def test_ftrl_against_plain_python():
+    rng = np.random.default_rng(2)
+    features = [np.unique(rng.integers(0, 64, rng.integers(0, 12))).astype("<u4") for _ in range(300)]
+    labels = np.array([float(len(f) > 0 and f.min() < 6) for f in features])
+    w, bias = toxicity.fit(features, labels, bits=6, epochs=3)
+    z, n, l1 = collections.defaultdict(float), collections.defaultdict(float), toxicity.L1_RATE * 300**0.5
+
+    def weight(k):
+        rate = 0 if k == "bias" else l1
+        if abs(z[k]) <= rate:
+            return 0.0
+        return -(z[k] - math.copysign(rate, z[k])) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for i in order.permutation(300).tolist():
+            keys = [*features[i].tolist(), "bias"]
+            own = {k: weight(k) for k in keys}
+            g = 1 / (1 + math.exp(-sum(own.values()))) - labels[i]
+            for k in keys:
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / toxicity.ALPHA * own[k]
+                n[k] += g * g
+    assert bias == pytest.approx(weight("bias")) and w == pytest.approx([weight(k) for k in range(64)])
+    assert 0 < np.count_nonzero(w) < 64
+
+
 def test_toxicity_learns_held_out(spark):
     rng = random.Random(9)
     bad = ["scum", "moron", "trash"]
@@ -293,6 +438,25 @@ def test_html_boxes_inside_articles(spark):
         assert {r.page_id: r.text for r in html.extract(df, broadcast_rows=limit).collect()} == want
 
 
+def test_html_counts_decide(spark):
+    """Templates planted inside and outside articles go by their counts alone, hinted names only where the counts know them."""
+    box = "<div class=zz><p>Join us {}</p></div>"
+    page = lambda i, k: f"<div><p>Site line {k}</p></div><article><h1>H {i}</h1><p>Own {i}</p><section>Box {k}</section><p class=q>Call {k}</p><div class='related'>See {i}</div></article><div><p>Imprint {k}</p></div>"
+    rows = [(i, f"http://h{i % 4}.example/{i}", page(i, i % 4), "x") for i in range(48)]
+    rows += [(100 + i, "http://bare.example/x", f"<div>Top</div><p>Own {i}</p>{box.format('now')}<div>Bottom</div>", "x") for i in range(9)]
+    rows += [(200, "http://h0.example/odd", "<article><h1>H</h1><p>Own</p><div class='widget-area'>Its own box</div></article>", "x"), (201, "http://small.example/", "<p>Own</p><div class='widget-area'>Its own box</div>", "x")]
+    df = spark.createDataFrame(rows, PAGES)
+    want = {**{i: f"H {i} Own {i}" for i in range(48)}, **{100 + i: f"Own {i}" for i in range(9)}, 200: "H Own Its own box", 201: "Own"}
+    for limit in (html.BROADCAST_ROWS, 0):
+        assert {r.page_id: r.text for r in html.extract(df, broadcast_rows=limit).collect()} == want
+    # without the counts every template stays
+    bare = {r.page_id: r.text for r in html.extract(df, min_pages=10**6).collect()}
+    assert all(bare[i] == f"H {i} Own {i} Box {i % 4} Call {i % 4}" for i in range(48)) and bare[100] == "Top Own 0 Join us now Bottom"
+    # a share of a large host's pages has an upper bound
+    big = spark.createDataFrame([(i, "http://big.example/", f"<p>Own {i}</p>" + (f"<div>Part {i // 60}</div>" if i < 120 else ""), "x") for i in range(2000)], PAGES)
+    assert {r.text for r in html.extract(big).collect()} == {f"Own {i}" for i in range(2000)}
+
+
 def distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(pattern, 1):
@@ -316,7 +480,7 @@ def test_myers(pattern, text, most):
 
 def test_leaks(spark):
     rng = random.Random(4)
-    items = [(i, " ".join(rare_words(rng, 40))) for i in range(12)] + [(50, None), (51, ""), (52, "Short one")]
+    items = [(i, " ".join(rare_words(rng, 40))) for i in range(12)] + [(50, None), (51, ""), (52, "Short one"), (53, "thirty characters of an item ab")]
     docs = []
     for i in range(60):
         words = rare_words(rng, 80)
@@ -330,21 +494,21 @@ def test_leaks(spark):
                 chars[p] = "#"
             words[40:40] = "".join(chars).split(" ")
         docs.append((i, "  ".join(words)))
-    docs += [(100, None), (101, ""), (102, "a short ONE b"), (103, "a short ones b"), (100, items[0][1] + " x " + items[0][1])]
+    docs += [(100, None), (101, ""), (102, "a short ONE b"), (103, "a short ones b"), (104, "x thirty characters of an itme ab y"), (105, "x thirty charaters of an item ab y"), (100, items[0][1] + " x " + items[0][1])]
     benchmark = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
     want = collections.Counter()
     for d, t in docs:
         for i, x in items:
             a, b = decontam.normal(x), decontam.normal(t)
             if a and b:
-                if len(a) < decontam.MIN_CHARS:
+                if len(a) * decontam.PERCENT < 100:
                     if f" {a} " in f" {b} ":
                         want[(d, i, 0)] += 1
                 elif (best := distance(a, b)[0]) <= len(a) * decontam.PERCENT // 100:
                     want[(d, i, best)] += 1
     df = frame(spark, docs)
-    for block in (decontam.BLOCK_ITEMS, 5):
-        assert collections.Counter((r.doc_id, r.item_id, r.distance) for r in decontam.find_leaks(df, benchmark, block_items=block).collect()) == want
+    for block in (decontam.BLOCK_BYTES, 1000):
+        assert collections.Counter((r.doc_id, r.item_id, r.distance) for r in decontam.find_leaks(df, benchmark, block_bytes=block).collect()) == want
     bad = {d for d, _, _ in want}
     clean = decontam.decontaminate(df, benchmark).collect()
     assert sorted(r.doc_id for r in clean) == sorted(d for d, t in docs if d not in bad or (d == 100 and t is None))
