@@ -5,8 +5,13 @@ permutation of the values of their format: an alternating Feistel network over t
 of the key, the kind, the round and the other half. Check digits are computed anew, and dates walk the cycle until they are dates, so a
 pseudonym is valid where its value was. Equal values get equal pseudonyms in all documents, and different ones different pseudonyms.
 
-Kinds: e-mail local parts, IPv4 addresses, phone numbers, payment cards, IBANs, social security numbers,
-dates (year-month-day, and day and month in either order before the year), and hexadecimal secrets of 32, 40 or 64 characters.
+Kinds: e-mail local parts (letters by case; the domain stays), IPv4 addresses, phone numbers with a + or in groups of 3, 3 and 4 digits (equal ones are
+linked however they are spaced; the country code stays), payment cards, IBANs, social security numbers, dates (year-month-day, and day and month in
+either order before the year), and hexadecimal secrets of 32, 40 or 64 characters. Not covered: national phone numbers in other groups, dates
+with one-digit days or months, IPv6 addresses, names.
+
+One pass of the pattern marks each match and its kind with control characters; those that a text has itself are escaped meanwhile. The key reaches
+the expressions as the value of a one-row subquery, so no plan shows it.
 
 Defined cases: null text stays null with nothing found; what fails its validation stays; repeated rows get equal pseudonyms; an empty table
 gives no rows; other columns pass unchanged.
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import free_name
 
 DIGITS, HEX, ALNUM = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
+MIXED = ALNUM + ALNUM[10:].upper()
 ROUNDS = 8
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
@@ -30,20 +36,30 @@ SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
 CARD = r"[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{13,19}"
 SECRET = r"[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}"
-#: One kind after the other, the most specific first; none may touch a letter or digit outside it.
-PATTERN = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in (EMAIL, IBAN, ISO_DATE, DMY_DATE, IPV4, SSN, PHONE, CARD, SECRET)) + r")(?![A-Za-z0-9])"
+FORMS = (EMAIL, IBAN, ISO_DATE, DMY_DATE, IPV4, SSN, PHONE, CARD, SECRET)
+#: One kind after the other, the most specific first; none may touch a letter or digit outside it. `GROUPED` has a group a kind.
+PATTERN = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in FORMS) + r")(?![A-Za-z0-9])"
+GROUPED = r"(?<![A-Za-z0-9])(?:" + "|".join(f"({p})" for p in FORMS) + r")(?![A-Za-z0-9])"
+#: Country codes by their first digits; all others have three. Fixed values.
+COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: What begins a match, ends it, stands for one that a text has itself, and parts the kinds.
+_BEGIN, _END, _ESCAPE, _KIND = "\x01", "\x02", "\x03", "\x07"
 
 #: Days from 1900-01-01 to 2099-12-31, and 42 symbols, three of which count a little further.
 DAYS, SYMBOLS = 73049, "0123456789abcdefghijklmnopqrstuvwxyzABCDEF"
 
 
+def _column(key: Column | str) -> Column:
+    return F.lit(key) if isinstance(key, str) else key
+
+
 def _full(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
-def feistel(value: Column, alphabet: str, key: str, kind: str, rounds: int = ROUNDS) -> Column:
+def feistel(value: Column, alphabet: str, key: Column | str, kind: str, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of the strings of ``value``'s length over an alphabet."""
-    base, symbols = len(alphabet), F.lit(alphabet)
+    base, symbols, key = len(alphabet), F.lit(alphabet), _column(key)
 
     def add(half: Column, stream: Column) -> Column:
         """Each character of a half moved on by a byte of the stream."""
@@ -55,13 +71,13 @@ def feistel(value: Column, alphabet: str, key: str, kind: str, rounds: int = ROU
         return F.when(F.length(half) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), moved), "")).otherwise("")
 
     def turn(acc: Column, i: Column) -> Column:
-        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), F.length(acc["l"]).cast("string"), acc["r"]).cast("binary"), 256)
+        stream = F.sha2(F.concat_ws("|", key, F.lit(kind), i.cast("string"), F.length(acc["l"]).cast("string"), acc["r"]).cast("binary"), 256)
         return F.struct(acc["r"].alias("l"), add(acc["l"], stream).alias("r"))
 
     half = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substr(value, F.lit(1), half).alias("l"), F.substr(value, half + 1, F.length(value)).alias("r"))
     many = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda acc: F.concat(acc["l"], acc["r"]))
-    alone = add(value, F.sha2(F.lit(f"{key}|{kind}|one").cast("binary"), 256))  # one character has no halves: it is shifted
+    alone = add(value, F.sha2(F.concat_ws("|", key, F.lit(kind), F.lit("one")).cast("binary"), 256))  # one character has no halves: it is shifted
     return F.when(F.length(value) > 1, many).otherwise(alone)
 
 
@@ -98,14 +114,14 @@ def _mod97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), F.lit(0), step)
 
 
-def _card(value: Column, key: str) -> Column:
+def _card(value: Column, key: Column | str) -> Column:
     digits = _only(value, "[0-9]")
     payload = feistel(F.substr(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, "card")
     check = F.pmod(10 - F.pmod(luhn_sum(payload, 1), F.lit(10)), F.lit(10))
     return F.when(luhn_sum(digits, 0) % 10 == 0, refill(value, "[0-9]", F.concat(payload, check.cast("string"))))
 
 
-def _iban(value: Column, key: str) -> Column:
+def _iban(value: Column, key: Column | str) -> Column:
     plain = _only(value, "[A-Z0-9]")
     country, own = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain))
     account = F.when(own.rlike("^[0-9]+$"), feistel(own, DIGITS, key, "iban")).otherwise(F.upper(feistel(F.lower(own), ALNUM, key, "iban")))
@@ -114,7 +130,7 @@ def _iban(value: Column, key: str) -> Column:
     return F.when(valid, refill(value, "[A-Z0-9]", F.concat(country, check, account)))
 
 
-def _date(value: Column, key: str, year: int, day: tuple[int, int], form: str) -> Column:
+def _date(value: Column, key: Column | str, year: int, day: tuple[int, int], form: str) -> Column:
     """year, day: where the year begins, and where month and day do."""
     at = lambda pos, n: F.substr(value, F.lit(pos), F.lit(n))
     when = F.try_to_date(F.concat_ws("-", at(year, 4), at(day[0], 2), at(day[1], 2)), "yyyy-MM-dd")
@@ -128,7 +144,7 @@ def _date(value: Column, key: str, year: int, day: tuple[int, int], form: str) -
     return F.when(when.isNotNull(), refill(value, "[0-9]", F.date_format(new, form)))
 
 
-def _ip(value: Column, key: str) -> Column:
+def _ip(value: Column, key: Column | str) -> Column:
     octets = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
     packed = F.array_join(F.transform(octets, lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), "")
     new = feistel(packed, HEX, key, "ip")
@@ -136,46 +152,67 @@ def _ip(value: Column, key: str) -> Column:
     return F.when(F.forall(octets, lambda x: x < 256), out)
 
 
-def _ssn(value: Column, key: str) -> Column:
+def _ssn(value: Column, key: Column | str) -> Column:
     valid = lambda d: ~d.rlike("^(000|666|9)|^...00|0000$")
     digits = _only(value, "[0-9]")
     walk = F.aggregate(F.sequence(F.lit(1), F.lit(40)), digits, lambda acc, i: F.when((i == 1) | ~valid(acc), feistel(acc, DIGITS, key, "ssn")).otherwise(acc))
     return F.when(valid(digits), refill(value, "[0-9]", walk))
 
 
-def _phone(value: Column, key: str) -> Column:
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    own = F.substr(value, F.length(code) + 1, F.length(value))
-    digits = _only(own, "[0-9]")
-    return F.when(F.length(_only(value, "[0-9]")).between(8, 15), F.concat(code, refill(own, "[0-9]", feistel(digits, DIGITS, key, "phone"))))
+def _phone(value: Column, key: Column | str) -> Column:
+    form = F.replace(value, F.lit("(0)"), F.lit("(_)"))  # a prefix that is dialled without the country code
+    digits = _only(form, "[0-9]")
+    code = F.when(value.startswith("+"), F.regexp_extract(digits, COUNTRY, 0)).otherwise("")
+    new = F.concat(code, feistel(F.substr(digits, F.length(code) + 1, F.length(digits)), DIGITS, key, "phone"))
+    return F.when(F.length(digits).between(8, 15), F.replace(refill(form, "[0-9]", new), F.lit("(_)"), F.lit("(0)")))
+
 
+def _email(value: Column, key: Column | str) -> Column:
+    local = F.substring_index(value, "@", 1)
+    return F.concat(refill(local, "[A-Za-z0-9]", feistel(_only(local, "[A-Za-z0-9]"), MIXED, key, "email")), F.substr(value, F.length(local) + 1, F.length(value)))
 
-def _email(value: Column, key: str) -> Column:
-    local = F.lower(F.substring_index(value, "@", 1))
-    return F.concat(refill(local, "[a-z0-9]", feistel(_only(local, "[a-z0-9]"), ALNUM, key, "email")), F.substr(value, F.length(local) + 1, F.length(value)))
 
+def _kinds(value: Column, key: Column | str) -> list[Column]:
+    """The pseudonym of ``value`` as each kind of `FORMS`, null where it isn't valid."""
+    dmy = F.coalesce(_date(value, key, 7, (4, 1), "ddMMyyyy"), _date(value, key, 7, (1, 4), "MMddyyyy"))
+    return [_email(value, key), _iban(value, key), _date(value, key, 1, (6, 9), "yyyyMMdd"), dmy, _ip(value, key), _ssn(value, key), _phone(value, key), _card(value, key), feistel(value, HEX, key, "secret")]
 
-def pseudonym(value: Column, key: str) -> Column:
+
+def pseudonym(value: Column, key: Column | str) -> Column:
     """The pseudonym of a match of `PATTERN`, or the match where it isn't valid."""
-    kinds = (
-        (EMAIL, _email(value, key)), (IBAN, _iban(value, key)), (ISO_DATE, _date(value, key, 1, (6, 9), "yyyyMMdd")),
-        (DMY_DATE, F.coalesce(_date(value, key, 7, (4, 1), "ddMMyyyy"), _date(value, key, 7, (1, 4), "MMddyyyy"))),
-        (IPV4, _ip(value, key)), (SSN, _ssn(value, key)), (PHONE, _phone(value, key)), (CARD, _card(value, key)), (SECRET, feistel(value, HEX, key, "secret")),
-    )
     out = F.lit(None).cast("string")
-    for pattern, new in reversed(kinds):
-        out = F.when(value.rlike(_full(pattern)), new).otherwise(out)
+    for form, new in reversed(list(zip(FORMS, _kinds(value, key), strict=True))):
+        out = F.when(value.rlike(_full(form)), new).otherwise(out)
     return F.coalesce(out, value)
 
 
+def _swapped(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs`` with pseudonyms in ``text``, and ``n_found``: how many values were replaced."""
-    name, old, new = (free_name(docs, n) for n in ("n_found", "values", "pseudonyms"))
-    text = F.col("text")
-    values = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = docs.withColumn(old, values).withColumn(new, F.transform(old, lambda v: pseudonym(v, key)))
-    gaps = F.split(text, PATTERN, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(new)), new, lambda g, v: F.concat(g, v)), ""), F.element_at(gaps, -1))
-    changed = F.when(F.size(old) > 0, joined).otherwise(text)
-    count = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)).cast("long")
+    name, old, new, secret = (free_name(docs, n) for n in ("n_found", "pieces", "pseudonyms", "key"))
+    text, own = F.col("text"), F.col(secret)
+    escapes = [(c, _ESCAPE + chr(ord(c) + 16)) for c in (_ESCAPE, _BEGIN, _END, _KIND)]
+    strange = text.contains(_BEGIN) | text.contains(_END) | text.contains(_ESCAPE) | text.contains(_KIND)
+    plain = F.when(strange, _swapped(text, escapes)).otherwise(text)
+    groups = _KIND.join(f"${k + 1}" for k in range(len(FORMS)))
+    marked = F.regexp_replace(plain, GROUPED, f"{_BEGIN}{groups}{_END}")
+    pieces = F.when(text.rlike("[0-9@]"), F.split(marked, f"[{_BEGIN}{_END}]", -1))
+
+    def replaced(piece: Column, i: Column) -> Column:
+        value, kind = F.trim(piece, F.lit(_KIND)), F.length(piece) - F.length(F.ltrim(piece, F.lit(_KIND)))
+        out = F.lit(None).cast("string")
+        for k, as_kind in enumerate(_kinds(value, own)):
+            out = F.when(kind == k, as_kind).otherwise(out)
+        return F.when(i % 2 == 1, F.coalesce(out, value)).otherwise(piece)
+
+    keys = docs.sparkSession.createDataFrame([(key,)], "key string")
+    found = docs.withColumn(secret, keys.scalar()).withColumn(old, pieces).withColumn(new, F.transform(old, replaced))
+    joined = F.array_join(new, "")
+    changed = F.when(F.size(old) > 1, F.when(strange, _swapped(joined, [(b, a) for a, b in reversed(escapes)])).otherwise(joined)).otherwise(text)
+    count = F.size(F.filter(F.zip_with(old, new, lambda a, b: F.trim(a, F.lit(_KIND)) != b), lambda x: x)).cast("long")
     return found.select(*(changed.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.coalesce(count, F.lit(0)).alias(name))
