@@ -19,6 +19,8 @@ gives no rows; other columns pass unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,15 @@ def _full(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it: lambdas would compute it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _at(text: Column, j: Column | int) -> Column:
+    return F.substr(text, F.lit(j) if isinstance(j, int) else j, F.lit(1))
+
+
 def feistel(value: Column, alphabet: str, key: Column | str, kind: str, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of the strings of ``value``'s length over an alphabet."""
     base, symbols, key = len(alphabet), F.lit(alphabet), _column(key)
@@ -66,29 +77,37 @@ def feistel(value: Column, alphabet: str, key: Column | str, kind: str, rounds:
 
         def moved(j: Column) -> Column:
             step = F.conv(F.substr(stream, F.pmod((j - 1) * 2, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
-            return F.substr(symbols, F.pmod(F.position(F.substr(half, j, F.lit(1)), symbols) - 1 + step, F.lit(base)) + 1, F.lit(1))
+            return _at(symbols, F.pmod(F.position(_at(half, j), symbols) - 1 + step, F.lit(base)) + 1)
 
         return F.when(F.length(half) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), moved), "")).otherwise("")
 
     def turn(acc: Column, i: Column) -> Column:
         stream = F.sha2(F.concat_ws("|", key, F.lit(kind), i.cast("string"), F.length(acc["l"]).cast("string"), acc["r"]).cast("binary"), 256)
-        return F.struct(acc["r"].alias("l"), add(acc["l"], stream).alias("r"))
+        return F.struct(acc["r"].alias("l"), _let(stream, lambda s: add(acc["l"], s)).alias("r"))
 
-    half = F.floor(F.length(value) / 2).cast("int")
-    start = F.struct(F.substr(value, F.lit(1), half).alias("l"), F.substr(value, half + 1, F.length(value)).alias("r"))
-    many = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda acc: F.concat(acc["l"], acc["r"]))
-    alone = add(value, F.sha2(F.concat_ws("|", key, F.lit(kind), F.lit("one")).cast("binary"), 256))  # one character has no halves: it is shifted
-    return F.when(F.length(value) > 1, many).otherwise(alone)
+    def whole(v: Column) -> Column:
+        half = F.floor(F.length(v) / 2).cast("int")
+        start = F.struct(F.substr(v, F.lit(1), half).alias("l"), F.substr(v, half + 1, F.length(v)).alias("r"))
+        many = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda acc: F.concat(acc["l"], acc["r"]))
+        alone = _let(F.sha2(F.concat_ws("|", key, F.lit(kind), F.lit("one")).cast("binary"), 256), lambda s: add(v, s))  # one character has no halves: it is shifted
+        return F.when(F.length(v) > 1, many).otherwise(alone)
+
+    return _let(value, whole)
 
 
 def refill(form: Column, places: str, filling: Column) -> Column:
     """``form`` with its characters of the class ``places`` replaced in order by those of ``filling``."""
 
-    def at(j: Column) -> Column:
-        c = F.substr(form, j, F.lit(1))
-        return F.when(c.rlike(places), F.substr(filling, F.length(F.regexp_replace(F.substr(form, F.lit(1), j), places.replace("[", "[^"), "")), F.lit(1))).otherwise(c)
+    def filled(form: Column, filling: Column) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            own = _at(form, j).rlike(places)
+            c = F.when(own, _at(filling, acc["k"])).otherwise(_at(form, j))
+            return F.struct(F.concat(acc["out"], c).alias("out"), (acc["k"] + F.when(own, 1).otherwise(0)).alias("k"))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
+        return F.when(F.length(form) > 0, F.aggregate(F.sequence(F.lit(1), F.length(form)), start, step, lambda acc: acc["out"])).otherwise(form)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), at), "")
+    return _let(form, lambda f: _let(filling, lambda x: filled(f, x)))
 
 
 def _only(value: Column, kept: str) -> Column:
@@ -98,78 +117,100 @@ def _only(value: Column, kept: str) -> Column:
 def luhn_sum(digits: Column, plain: int) -> Column:
     """Sum of digits, every second one doubled; those at positions 2 i + ``plain`` from the right, counted from 0, stay."""
 
-    def term(j: Column) -> Column:
-        d = F.substr(digits, F.length(digits) - j, F.lit(1)).cast("int")
-        twice = d * 2
-        return F.when(F.pmod(j, F.lit(2)) != plain, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
+    def total(digits: Column) -> Column:
+        def term(j: Column) -> Column:
+            d = _at(digits, F.length(digits) - j).cast("int")
+            twice = d * 2
+            return F.when(F.pmod(j, F.lit(2)) != plain, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
+
+        return F.aggregate(F.transform(F.sequence(F.lit(0), F.length(digits) - 1), term), F.lit(0), lambda a, x: a + x)
 
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.length(digits) - 1), term), F.lit(0), lambda a, x: a + x)
+    return _let(digits, total)
 
 
 def _mod97(value: Column) -> Column:
-    def step(acc: Column, j: Column) -> Column:
-        v = F.position(F.lower(F.substr(value, j, F.lit(1))), F.lit(ALNUM)) - 1
-        return F.pmod(F.when(v < 10, acc * 10).otherwise(acc * 100) + v, F.lit(97))
+    def total(value: Column) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            v = F.position(F.lower(_at(value, j)), F.lit(ALNUM)) - 1
+            return F.pmod(F.when(v < 10, acc * 10).otherwise(acc * 100) + v, F.lit(97))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), F.lit(0), step)
+        return F.aggregate(F.sequence(F.lit(1), F.length(value)), F.lit(0), step)
+
+    return _let(value, total)
 
 
 def _card(value: Column, key: Column | str) -> Column:
-    digits = _only(value, "[0-9]")
-    payload = feistel(F.substr(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, "card")
-    check = F.pmod(10 - F.pmod(luhn_sum(payload, 1), F.lit(10)), F.lit(10))
-    return F.when(luhn_sum(digits, 0) % 10 == 0, refill(value, "[0-9]", F.concat(payload, check.cast("string"))))
+    def new(digits: Column) -> Column:
+        check = lambda payload: F.pmod(10 - F.pmod(luhn_sum(payload, 1), F.lit(10)), F.lit(10))
+        payload = feistel(F.substr(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, "card")
+        return F.when(luhn_sum(digits, 0) % 10 == 0, refill(value, "[0-9]", _let(payload, lambda p: F.concat(p, check(p).cast("string")))))
+
+    return _let(_only(value, "[0-9]"), new)
 
 
 def _iban(value: Column, key: Column | str) -> Column:
-    plain = _only(value, "[A-Z0-9]")
-    country, own = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain))
-    account = F.when(own.rlike("^[0-9]+$"), feistel(own, DIGITS, key, "iban")).otherwise(F.upper(feistel(F.lower(own), ALNUM, key, "iban")))
-    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = _mod97(F.concat(own, F.substr(plain, F.lit(1), F.lit(4)))) == 1
-    return F.when(valid, refill(value, "[A-Z0-9]", F.concat(country, check, account)))
+    def new(plain: Column) -> Column:
+        country, own = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain))
+        account = F.when(own.rlike("^[0-9]+$"), feistel(own, DIGITS, key, "iban")).otherwise(F.upper(feistel(F.lower(own), ALNUM, key, "iban")))
+        check = lambda account: F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+        valid = _mod97(F.concat(own, F.substr(plain, F.lit(1), F.lit(4)))) == 1
+        return F.when(valid, refill(value, "[A-Z0-9]", _let(account, lambda a: F.concat(country, check(a), a))))
+
+    return _let(_only(value, "[A-Z0-9]"), new)
 
 
 def _date(value: Column, key: Column | str, year: int, day: tuple[int, int], form: str) -> Column:
     """year, day: where the year begins, and where month and day do."""
     at = lambda pos, n: F.substr(value, F.lit(pos), F.lit(n))
     when = F.try_to_date(F.concat_ws("-", at(year, 4), at(day[0], 2), at(day[1], 2)), "yyyy-MM-dd")
-    n = F.datediff(when, F.to_date(F.lit("1900-01-01")))
-    symbols = F.lit(SYMBOLS)
-    letter = lambda x: F.substr(symbols, x.cast("int") + 1, F.lit(1))
-    number = lambda s: sum(((F.position(F.substr(s, F.lit(3 - k), F.lit(1)), symbols) - 1) * 42**k for k in range(3)), F.lit(0))
-    first = F.concat(letter(F.floor(n / 1764)), letter(F.pmod(F.floor(n / 42), F.lit(42))), letter(F.pmod(n, F.lit(42))))
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(12)), first, lambda acc, i: F.when((i == 1) | (number(acc) >= DAYS), feistel(acc, SYMBOLS, key, "date")).otherwise(acc))
-    new = F.date_add(F.to_date(F.lit("1900-01-01")), number(walk).cast("int"))
-    return F.when(when.isNotNull(), refill(value, "[0-9]", F.date_format(new, form)))
+    symbols, first_day = F.lit(SYMBOLS), F.to_date(F.lit("1900-01-01"))
+    letter = lambda x: _at(symbols, x.cast("int") + 1)
+    number = lambda s: sum(((F.position(_at(s, 3 - k), symbols) - 1) * 42**k for k in range(3)), F.lit(0))
+
+    def new(n: Column) -> Column:
+        code = F.concat(letter(F.floor(n / 1764)), letter(F.pmod(F.floor(n / 42), F.lit(42))), letter(F.pmod(n, F.lit(42))))
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(12)), code, lambda acc, i: F.when((i == 1) | (number(acc) >= DAYS), feistel(acc, SYMBOLS, key, "date")).otherwise(acc))
+        days = _let(walk, lambda w: number(w).cast("int"))
+        return F.when(n.isNotNull(), refill(value, "[0-9]", F.date_format(F.date_add(first_day, days), form)))
+
+    return _let(F.datediff(when, first_day), new)
 
 
 def _ip(value: Column, key: Column | str) -> Column:
-    octets = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
-    packed = F.array_join(F.transform(octets, lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), "")
-    new = feistel(packed, HEX, key, "ip")
-    out = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.conv(F.substr(new, k * 2 + 1, F.lit(2)), 16, 10)), ".")
-    return F.when(F.forall(octets, lambda x: x < 256), out)
+    def new(octets: Column) -> Column:
+        packed = F.array_join(F.transform(octets, lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), "")
+        out = lambda new: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.conv(F.substr(new, k * 2 + 1, F.lit(2)), 16, 10)), ".")
+        return F.when(F.forall(octets, lambda x: x < 256), _let(feistel(packed, HEX, key, "ip"), out))
+
+    return _let(F.transform(F.split(value, r"\."), lambda x: x.cast("int")), new)
 
 
 def _ssn(value: Column, key: Column | str) -> Column:
     valid = lambda d: ~d.rlike("^(000|666|9)|^...00|0000$")
-    digits = _only(value, "[0-9]")
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(40)), digits, lambda acc, i: F.when((i == 1) | ~valid(acc), feistel(acc, DIGITS, key, "ssn")).otherwise(acc))
-    return F.when(valid(digits), refill(value, "[0-9]", walk))
+
+    def new(digits: Column) -> Column:
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(40)), digits, lambda acc, i: F.when((i == 1) | ~valid(acc), feistel(acc, DIGITS, key, "ssn")).otherwise(acc))
+        return F.when(valid(digits), refill(value, "[0-9]", walk))
+
+    return _let(_only(value, "[0-9]"), new)
 
 
 def _phone(value: Column, key: Column | str) -> Column:
     form = F.replace(value, F.lit("(0)"), F.lit("(_)"))  # a prefix that is dialled without the country code
-    digits = _only(form, "[0-9]")
-    code = F.when(value.startswith("+"), F.regexp_extract(digits, COUNTRY, 0)).otherwise("")
-    new = F.concat(code, feistel(F.substr(digits, F.length(code) + 1, F.length(digits)), DIGITS, key, "phone"))
-    return F.when(F.length(digits).between(8, 15), F.replace(refill(form, "[0-9]", new), F.lit("(_)"), F.lit("(0)")))
+
+    def new(digits: Column) -> Column:
+        code = F.when(value.startswith("+"), F.regexp_extract(digits, COUNTRY, 0)).otherwise("")
+        own = lambda code: F.concat(code, feistel(F.substr(digits, F.length(code) + 1, F.length(digits)), DIGITS, key, "phone"))
+        return F.when(F.length(digits).between(8, 15), F.replace(refill(form, "[0-9]", _let(code, own)), F.lit("(_)"), F.lit("(0)")))
+
+    return _let(_only(form, "[0-9]"), new)
 
 
 def _email(value: Column, key: Column | str) -> Column:
-    local = F.substring_index(value, "@", 1)
-    return F.concat(refill(local, "[A-Za-z0-9]", feistel(_only(local, "[A-Za-z0-9]"), MIXED, key, "email")), F.substr(value, F.length(local) + 1, F.length(value)))
+    def new(local: Column) -> Column:
+        return F.concat(refill(local, "[A-Za-z0-9]", feistel(_only(local, "[A-Za-z0-9]"), MIXED, key, "email")), F.substr(value, F.length(local) + 1, F.length(value)))
+
+    return _let(F.substring_index(value, "@", 1), new)
 
 
 def _kinds(value: Column, key: Column | str) -> list[Column]:
@@ -204,11 +245,13 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     pieces = F.when(text.rlike("[0-9@]"), F.split(marked, f"[{_BEGIN}{_END}]", -1))
 
     def replaced(piece: Column, i: Column) -> Column:
-        value, kind = F.trim(piece, F.lit(_KIND)), F.length(piece) - F.length(F.ltrim(piece, F.lit(_KIND)))
-        out = F.lit(None).cast("string")
-        for k, as_kind in enumerate(_kinds(value, own)):
-            out = F.when(kind == k, as_kind).otherwise(out)
-        return F.when(i % 2 == 1, F.coalesce(out, value)).otherwise(piece)
+        def new(value: Column) -> Column:
+            kind, out = F.length(piece) - F.length(F.ltrim(piece, F.lit(_KIND))), F.lit(None).cast("string")
+            for k, as_kind in reversed(list(enumerate(_kinds(value, own)))):
+                out = F.when(kind == k, as_kind).otherwise(out)
+            return F.coalesce(out, value)
+
+        return F.when(i % 2 == 1, _let(F.trim(piece, F.lit(_KIND)), new)).otherwise(piece)
 
     keys = docs.sparkSession.createDataFrame([(key,)], "key string")
     found = docs.withColumn(secret, keys.scalar()).withColumn(old, pieces).withColumn(new, F.transform(old, replaced))
