@@ -128,10 +128,10 @@ def references(docs: DataFrame, common: int = COMMON_WORDS, min_words: int = MIN
     totals = docs.select("lang", "text").mapInArrow(counted, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     totals = materialize(totals)
     spoken = totals.where((F.col("kind") == 1) & (F.col("n") >= min_words)).select("lang")  # one language at most for so many words of the corpus
-    ranked = totals.join(spoken, "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")))
+    ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")))
     out: dict = {}
     # one limit on the rank, so that each partition sends its highest alone; it leaves the few rows of the other kinds whole
-    for r in ranked.where(F.col("rank") <= max(common, _CLASSES)).collect():
+    for r in ranked.where(F.col("rank") <= max(common, _CLASSES)).join(spoken, "lang").collect():
         ref = out.setdefault(r.lang, (np.zeros(_CLASSES), {}, [0]))
         if r.kind == 2:
             ref[0][r.key] = r.n
