@@ -15,13 +15,15 @@ LENIENT_NUMBER = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf(i
 
 
 def clean_cell(cell: Column) -> Column:
-    """White space trimmed and collapsed, then non-printables deleted; null is empty."""
+    """White space trimmed and collapsed, then non-printables deleted; null is empty. Printable ASCII, most cells, takes neither pattern."""
     collapsed = F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), f"{WS}+", " "))
-    return F.regexp_replace(collapsed, f"{NON_PRINTABLE}+", "")
+    ascii_only = F.trim(F.regexp_replace(cell, " {2,}", " "))
+    return F.when(~cell.rlike("[^!-~]"), cell).when(~cell.rlike("[^ -~]"), ascii_only).otherwise(F.regexp_replace(collapsed, f"{NON_PRINTABLE}+", ""))
 
 
 def non_empty(cell: Column) -> Column:
-    return F.coalesce(cell.rlike(NOT_WS), F.lit(False))
+    """Whether there is anything but white space; a first character of visible ASCII settles it by two comparisons of bytes."""
+    return F.when((cell >= "!") & (cell < "\x7f"), True).otherwise(F.coalesce(cell.rlike(NOT_WS), F.lit(False)))
 
 
 def present(cell: Column) -> Column:

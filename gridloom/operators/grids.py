@@ -36,8 +36,15 @@ def is_valid(cells: Column) -> Column:
     return (F.size(cells) >= 2) & (_share(F.size(F.filter(flat, non_empty)), F.size(flat)) >= 0.2) & (modal_width_rows(cells) * 2 >= F.size(cells))
 
 
+def _once(grids: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column out of a generator of one row, through which no filter is pushed.
+
+    A filter on a projected value is pushed below the projections, and there repeats what makes the cells for each place that names them."""
+    return grids.drop(name).select("*", F.explode(F.array(value)).alias(name))
+
+
 def valid(grids: DataFrame) -> DataFrame:
-    return grids.where(is_valid(F.col(CELLS)))
+    return _once(grids, "is_valid", is_valid(F.col(CELLS))).where("is_valid").drop("is_valid")
 
 
 def clean_cells(grids: DataFrame) -> DataFrame:
@@ -67,7 +74,8 @@ def promote_header(grids: DataFrame) -> DataFrame:
 
 
 def joined_text(cells: Column) -> Column:
-    return F.array_join(F.filter(F.flatten(cells), present), " ")
+    """The cells that aren't null or empty, a space between; nulls are left out by the join."""
+    return F.array_join(F.array_remove(F.flatten(cells), ""), " ")
 
 
 def with_text(grids: DataFrame) -> DataFrame:
@@ -97,17 +105,20 @@ def data_types(cells: Column) -> Column:
     body, width = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), widest(cells)
 
     def counts(k: Column) -> Column:
-        """Filled cells of a column and numbers among them, in one pass over the rows."""
+        """Filled cells of a column, and numbers among them in the upper half of the long, in one pass over the rows."""
 
         def add(so_far: Column, row: Column) -> Column:
             cell = F.get(row, k)
-            return F.when(present(cell), F.struct((so_far["n"] + 1).alias("n"), (so_far["numbers"] + F.when(numeric(cell), 1).otherwise(0)).alias("numbers"))).otherwise(so_far)
+            return F.when(present(cell), so_far + F.when(numeric(cell), (1 << 32) + 1).otherwise(F.lit(1))).otherwise(so_far)
+
+        return F.aggregate(body, F.lit(0).cast("long"), add)
 
-        return F.aggregate(body, F.struct(F.lit(0).alias("n"), F.lit(0).alias("numbers")), add)
+    def good(both: Column) -> Column:
+        n, numbers = both.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright(both, 32)
+        return (n > 0) & ((numbers > n * F.lit(0.8)) | (numbers < n * F.lit(0.2)))
 
-    columns = F.transform(F.sequence(F.lit(0), width - 1), counts)
-    good = F.filter(columns, lambda c: (c["n"] > 0) & ((c["numbers"] > c["n"] * F.lit(0.8)) | (c["numbers"] < c["n"] * F.lit(0.2))))
-    return F.when(F.size(cells) < 2, 0.5).when(width > 0, F.size(good) / width).otherwise(0.0)
+    columns = F.filter(F.transform(F.sequence(F.lit(0), width - 1), counts), good)
+    return F.when(F.size(cells) < 2, 0.5).when(width > 0, F.size(columns) / width).otherwise(0.0)
 
 
 def size_score(cells: Column) -> Column:
@@ -125,7 +136,7 @@ def with_quality(grids: DataFrame) -> DataFrame:
     total = F.lit(0.0)
     for k, (_, weight) in METRICS.items():
         total = total + F.col(f"quality_metrics.{k}") * weight
-    return scored.withColumn("quality_score", F.when(F.size(CELLS) >= 2, total).otherwise(0.0))
+    return _once(scored, "quality_score", F.when(F.size(CELLS) >= 2, total).otherwise(0.0))
 
 
 def quality_filter(grids: DataFrame, min_quality: float = 0.3, enforce: bool = True) -> DataFrame:

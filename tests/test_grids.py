@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import extract, schemas
-from gridloom.functions.text import clean_cell, lenient_number
+from gridloom.functions.text import NON_PRINTABLE, NOT_WS, WS, clean_cell, lenient_number, non_empty
 from gridloom.operators import catalog, classify, grids
+from gridloom.plans import registry
 from gridloom.sources import tables
+from tests.conftest import DATA
 
 SCHEMA = "doc_id bigint, page_number int, method string, method_rank int, raw_index int, cells array<array<string>>"
 
@@ -131,3 +133,27 @@ def test_reports(spark):
     assert catalog.filtered_count(scored, 0.5).first()[:] == (1, 2)
     pages = spark.createDataFrame([(1, 1), (1, 1), (1, 2)], "doc_id long, page_number int")
     assert catalog.throughput(pages, 4).first()[0] == 0.5 and catalog.throughput(pages, 0).first()[0] is None
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_filter_on_scores_repeats_no_cleaning(spark):
+    found = registry.QUERIES["quality_filter"](spark, DATA)
+    assert plan(found).count(NON_PRINTABLE) == 1 and plan(found).count("date_format") == 1
+
+
+ODD = [None, "", " ", "a", " a", "a  b", "a \t b", "\x7f", "\x7fa", "~", "!", "é", " é  b ", " ", " x ", "a​b", "　", "\x00", "a\x1fb", "\n", "a\n", "\U0001f600", "a  b "]
+
+
+def test_quick_answers_are_the_patterns_answers(spark):
+    c = F.col("c")
+    collapsed = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{WS}+", " "))
+    slow = F.regexp_replace(collapsed, f"{NON_PRINTABLE}+", ""), F.coalesce(c.rlike(NOT_WS), F.lit(False))
+    for r in spark.createDataFrame([(x,) for x in ODD], "c string").select("c", clean_cell(c), non_empty(c), *slow).collect():
+        assert r[1:3] == r[3:], repr(r[0])
+
+
+def test_column_counts_beside_each_other(spark):
+    assert metric(spark, grids.data_types, [["h", "i", "j"], ["1", None, "x"], ["2", "3"], ["y", "4", ""], ["5"]]) == pytest.approx(2 / 3)
