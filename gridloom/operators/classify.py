@@ -24,17 +24,31 @@ def _met(words: list[str], column: str) -> str:
     return f"size(filter(array({', '.join(map(_text, words))}), w -> contains({column}, w)))"
 
 
+def _found(column: str, kind: str) -> str:
+    """How many of a type's words are among the found ones."""
+    return f"size(filter({column}, w -> w in ({', '.join(map(_text, rules.TABLE_TYPES[kind][0]))})))"
+
+
+def _count(pattern: str) -> str:
+    needed, count = rules.NEEDED.get(pattern), f"regexp_count(table_text, {_text(pattern)})"
+    return f"if(contains(table_text, {_text(needed)}), {count}, 0)" if needed else count
+
+
 def table_score(kind: str) -> str:
-    """The score of a type, over the columns table_text and header_text."""
-    words, patterns = rules.TABLE_TYPES[kind]
-    counts = " + ".join(f"regexp_count(table_text, {_text(p)})" for p in patterns)
-    return f"{_met(words, 'table_text')} * {rules.KEYWORD_SCORE} + {_met(words, 'header_text')} * {rules.HEADER_SCORE} + ({counts}) * {rules.PATTERN_SCORE}"
+    """The score of a type, over the columns table_text, found and found_in_header."""
+    counts = " + ".join(map(_count, rules.TABLE_TYPES[kind][1]))
+    return f"{_found('found', kind)} * {rules.KEYWORD_SCORE} + {_found('found_in_header', kind)} * {rules.HEADER_SCORE} + ({counts}) * {rules.PATTERN_SCORE}"
 
 
 def class_scores(grids: DataFrame) -> DataFrame:
-    """A column ``scores``: (name, score) of each type, in tie order."""
+    """A column ``scores``: (name, score) of each type, in tie order.
+
+    Each word is sought once, whatever types have it, and in the header only where the table has it: the header's text begins the table's."""
     scores = ", ".join(f"named_struct('name', '{k}', 'score', {table_score(k)})" for k in rules.TABLE_TYPES)
-    return with_text(grids).withColumn("scores", F.expr(f"array({scores})"))
+    words = ", ".join(map(_text, sorted({w for words, _ in rules.TABLE_TYPES.values() for w in words})))
+    found = with_text(grids).withColumn("found", F.expr(f"filter(array({words}), w -> contains(table_text, w))"))
+    found = found.withColumn("found_in_header", F.expr("filter(found, w -> contains(header_text, w))"))
+    return found.withColumn("scores", F.expr(f"array({scores})")).drop("found", "found_in_header")
 
 
 def best(scores: Column, otherwise: str) -> Column:

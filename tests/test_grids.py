@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom import extract, schemas
+from gridloom.functions import rules
 from gridloom.functions.text import NON_PRINTABLE, NOT_WS, WS, clean_cell, lenient_number, non_empty
 from gridloom.operators import catalog, classify, grids
 from gridloom.plans import registry
@@ -157,3 +159,18 @@ def test_quick_answers_are_the_patterns_answers(spark):
 
 def test_column_counts_beside_each_other(spark):
     assert metric(spark, grids.data_types, [["h", "i", "j"], ["1", None, "x"], ["2", "3"], ["y", "4", ""], ["5"]]) == pytest.approx(2 / 3)
+
+
+def test_enforced_catalog_shuffles_and_cleans_once(spark):
+    df = registry.QUERIES["enforced_catalog"](spark, DATA)
+    assert plan(df).count(NON_PRINTABLE) == 1 and df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_scores_count_every_word_and_pattern(spark):
+    texts = ["Cash flow 5% (a) $1,200 $3.50", "n = 12 r=.5 p < 0.05", "12.5% of 2.0x", "operating margin margin", "co2 scope 2 tCO2", "x", "100% %(q)"]
+    cells = [[["Operating cash", None, ""], [t, "Phase 2"]] for t in texts]
+    for got, c in zip(classify.class_scores(frame(spark, *cells)).orderBy("doc_id").collect(), cells):
+        header, text = "operating cash", " ".join(x for row in c for x in row if x).lower()
+        for s, (words, patterns) in zip(got.scores, rules.TABLE_TYPES.values()):
+            want = sum(2 * (w in text) + 3 * (w in header) for w in words) + sum(2 * len(list(re.finditer(p, text))) for p in patterns)
+            assert s.score == want, (s.name, text)
