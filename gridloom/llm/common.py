@@ -88,8 +88,25 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches, column: str, max_bytes: int = CHUNK_BYTES):
-    """Cut record batches into pieces of at most ``max_bytes`` of ``column``, one row at least."""
+#: What a worker keeps from task to task, by the function that made it and this one's arguments.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(make, *key):
+    """``make(*key)``, which this worker keeps until it runs another operator, or this one with another key."""
+    name = (make, *key)
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make(*key)
+    return _KEPT[name]
+
+
+def slices(batches, column: str, max_bytes: int = CHUNK_BYTES, keep=None):
+    """Cut record batches into pieces of at most ``max_bytes`` of ``column``, one row at least.
+
+    What ``kept`` holds goes, but for what ``keep`` has made: an idle worker would hold it through all later stages."""
+    for name in [n for n in _KEPT if n[0] is not keep]:
+        del _KEPT[name]
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -17,6 +17,7 @@ text is tokenised in stretches between white space.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from gridloom.llm.common import _GAMMA, _INVERSE, _POWER, CHUNK_BYTES, IS_SPACE, free_name, materialize, mix, release, slices, text_buffer, with_fields
+from gridloom.llm.common import _GAMMA, _INVERSE, _POWER, CHUNK_BYTES, IS_SPACE, free_name, kept, materialize, mix, release, slices, text_buffer, with_fields
 
 CAPACITY, SLACK, GROUP_ITEMS = 2048, 8, 50_000
 
@@ -80,6 +81,14 @@ class UnitEncoder:
         self.letters = str.maketrans({chr(b): c for b, c in letters.items()})
         self.keys, self.at, self.count, self.met = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.used, self.tick = np.empty(1 << 16, np.uint32), 0, 0
+        self.powers = np.empty((2, 0), np.uint64)
+
+    def _powers(self, n: int) -> np.ndarray:
+        if self.powers.shape[1] < n:
+            self.powers = np.repeat(np.array([[_POWER], [_INVERSE]], np.uint64), max(n, CHUNK_BYTES), axis=1)
+            self.powers[:, 0] = 1
+            np.cumprod(self.powers, axis=1, dtype=np.uint64, out=self.powers)
+        return self.powers[:, :n]
 
     def _ids_of(self, plain: list[str], odd: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of plain units and then of odd words, and their counts."""
@@ -190,7 +199,7 @@ class UnitEncoder:
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(off) - 1, np.int64)
 
-        up, down = _code_powers(len(raw))
+        up, down = self._powers(len(raw))
         sums = np.zeros(len(raw) + 1, np.uint64)
         said = np.where(odd, raw.astype(np.uint64) + np.uint64(1 << 32), low) if odd.any() else low.astype(np.uint64)
         np.cumsum(mix(said + _GAMMA) * up, out=sums[1:])
@@ -222,21 +231,9 @@ class UnitEncoder:
         return ids, np.bincount(rows, weights=count, minlength=len(off) - 1).astype(np.int64)
 
 
-_CODE_POWERS: dict[str, np.ndarray] = {}
-
-
-def _code_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_CODE_POWERS.get("up", ())) < n:
-        for name, base in (("up", _POWER), ("down", _INVERSE)):
-            x = np.full(max(n, CHUNK_BYTES), base, np.uint64)
-            x[0] = 1
-            _CODE_POWERS[name] = np.cumprod(x, dtype=np.uint64)
-    return _CODE_POWERS["up"][:n], _CODE_POWERS["down"][:n]
-
-
-@lru_cache(maxsize=4)
 def encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
+    """The encoder of ``path``, which a worker keeps while it runs no other operator."""
+    return kept(UnitEncoder, path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -245,27 +242,29 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids): each document's ids cut into pieces; ids are little-endian unsigned 32-bit."""
+def _cut(batches, tokenizer: str, capacity: int, end_id: int):
+    """Batches of the pieces of documents, with their ids."""
+    for batch in slices(batches, "text", keep=UnitEncoder):
+        ids, counts = encoder(tokenizer).encode(*text_buffer(batch.column("text")))
+        own = np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype("<u4", copy=False)
+        counts += 1
+        per = -(-counts // capacity)
+        rows = np.repeat(np.arange(len(counts)), per)
+        piece = np.arange(len(rows)) - np.repeat(np.cumsum(per) - per, per)
+        length = np.minimum(capacity, counts[rows] - piece * capacity)
+        ends = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
+        blobs = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(own)])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), blobs], names=["doc_id", "piece", "start", "length", "ids"])
+    release()
 
-    def cut(batches):
-        for batch in slices(batches, "text"):
-            ids, counts = encoder(tokenizer).encode(*text_buffer(batch.column("text")))
-            own = np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype("<u4", copy=False)
-            counts += 1
-            per = -(-counts // capacity)
-            rows = np.repeat(np.arange(len(counts)), per)
-            piece = np.arange(len(rows)) - np.repeat(np.cumsum(per) - per, per)
-            length = np.minimum(capacity, counts[rows] - piece * capacity)
-            ends = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
-            blobs = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(own)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), blobs], names=["doc_id", "piece", "start", "length", "ids"]
-            )
-        release()
 
-    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *(StructField(c, t) for c, t in (("piece", IntegerType()), ("start", LongType()), ("length", LongType()), ("ids", BinaryType())))])
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+def _pieces_schema(docs: DataFrame, last: StructField) -> StructType:
+    return StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), last])
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+    """(doc_id, piece, start, length, ids): each document's ids cut into pieces; ids are little-endian unsigned 32-bit."""
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _cut(batches, tokenizer, capacity, end_id), _pieces_schema(docs, StructField("ids", BinaryType())))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,33 +290,39 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
+def _packed(batches, bin_: str, capacity: int, group_items: int):
+    """Batches of pieces with a column for their bins and ``offset``; pieces are packed by ``group_items`` at a time."""
+    base, count, held, n = (TaskContext.get().partitionId() + 1) << 36, 0, [], 0
+
+    def packed():
+        nonlocal count, held, n
+        whole = pa.Table.from_batches(held)
+        bins, offsets, fill = best_fit(whole.column("length").to_numpy(), capacity)
+        out = whole.append_column(bin_, pa.array(base + count + bins)).append_column("offset", pa.array(offsets))
+        count, held, n = count + len(fill), [], 0
+        return out.to_batches()
+
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= group_items:
+            yield from packed()
+    if n:
+        yield from packed()
+    release()
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, group_items: int = GROUP_ITEMS) -> DataFrame:
     """All columns of ``pieces`` (which has ``length``), with sequence_id and offset."""
     pieces = pieces.drop("offset")
     bin_ = free_name(pieces, "bin")
-    schema = with_fields(pieces, **{bin_: "long", "offset": "long"})
-
-    def local(batches):
-        count, held, n = 0, [], 0
-
-        def packed():
-            nonlocal count, held, n
-            whole = pa.Table.from_batches(held)
-            bins, offsets, fill = best_fit(whole.column("length").to_numpy(), capacity)
-            out = whole.append_column(bin_, pa.array(base + count + bins)).append_column("offset", pa.array(offsets))
-            count, held, n = count + len(fill), [], 0
-            return out.to_batches()
-
-        base = (TaskContext.get().partitionId() + 1) << 36
-        for batch in batches:
-            held, n = [*held, batch], n + batch.num_rows
-            if n >= group_items:
-                yield from packed()
-        if n:
-            yield from packed()
-        release()
+    placed = pieces.mapInArrow(lambda batches: _packed(batches, bin_, capacity, group_items), with_fields(pieces, **{bin_: "long", "offset": "long"}))
+    return _joined(placed, bin_, capacity, slack, group_items)
 
-    placed = materialize(pieces.mapInArrow(local, schema))
+
+def _joined(placed: DataFrame, bin_: str, capacity: int, slack: int, group_items: int) -> DataFrame:
+    """Pieces with their sequences, from those with bins: the rounds over underfull bins."""
+    columns = [c for c in placed.columns if c not in (bin_, "offset")]
+    placed = materialize(placed)
     items = placed.groupBy(F.col(bin_).alias("bin")).agg(F.sum("length").alias("fill")).where(F.col("fill") < capacity - slack)
     moved = materialize(items.select("bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("base"), "fill"))
     left, level = moved.count(), 0
@@ -342,11 +347,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, group_
             break
     return (
         placed.alias("p").join(moved.drop("fill").alias("m"), F.col(f"p.{bin_}") == F.col("m.bin"), "left")
-        .select(*(f"p.{c}" for c in pieces.columns), F.coalesce("m.root", f"p.{bin_}").alias("sequence_id"), (F.col("p.offset") + F.coalesce("m.base", F.lit(0))).alias("offset"))
+        .select(*(f"p.{c}" for c in columns), F.coalesce("m.root", f"p.{bin_}").alias("sequence_id"), (F.col("p.offset") + F.coalesce("m.base", F.lit(0))).alias("offset"))
     )
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Pieces with their places, and the digest of each piece's ids in place of the ids."""
-    pieces = token_pieces(docs, tokenizer, capacity, end_id)
-    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity)
+    """Pieces with their places, and the digest of each piece's ids in place of the ids. One worker a task cuts and packs."""
+
+    def placed(batches):
+        return _packed((_digested(b) for b in _cut(batches, tokenizer, capacity, end_id)), "bin", capacity, GROUP_ITEMS)
+
+    schema = _pieces_schema(docs, StructField("ids_crc32", LongType())).add("bin", "long").add("offset", "long")
+    return _joined(docs.select("doc_id", "text").mapInArrow(placed, schema), "bin", capacity, SLACK, GROUP_ITEMS)
+
+
+def _digested(pieces: pa.RecordBatch) -> pa.RecordBatch:
+    """Pieces with the CRC-32 of their ids, ``ids_crc32``, in place of ``ids``."""
+    crc = pa.array([zlib.crc32(x.as_buffer()) for x in pieces.column("ids")], pa.int64())
+    return pieces.drop_columns(["ids"]).append_column("ids_crc32", crc)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import collections
+import gc
 import html as html_module
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -16,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, html, ngram_join, packing, quality, queries, suffix, toxicity
+from gridloom.llm import common, decontam, html, ngram_join, packing, quality, queries, suffix, toxicity
 from gridloom.llm.common import text_buffer
 from gridloom.llm.components import components
 from tests.conftest import DATA
@@ -194,6 +196,30 @@ def test_packing(spark, texts):
     assert len(bins) <= 1.02 * len(packing.best_fit(np.array([r.length for r in got]), 256)[2]) + 1
 
 
+def test_packing_takes_one_worker_a_task(spark, monkeypatch):
+    plans, write = [], packing.materialize
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(packing, "materialize", noted)
+    assert packing.pack_documents(frame(spark, [(1, "a b"), (2, None)]), packing.tokenizer_path()).count() == 2
+    assert [p.count("MapInArrow") for p in plans if "MapInArrow" in p] == [1]
+
+
+def test_another_operator_frees_the_encoder():
+    rows, path = pa.RecordBatch.from_pydict({"text": ["a b"]}), packing.tokenizer_path()
+    held = weakref.ref(packing.encoder(path))
+    assert packing.encoder(path) is held()
+    list(common.slices([rows], "text"))
+    gc.collect()
+    assert held() is None
+    held = weakref.ref(packing.encoder(path))
+    list(common.slices([rows], "text", keep=packing.UnitEncoder))
+    assert packing.encoder(path) is held()
+
+
 def test_packing_in_small_groups(spark):
     pieces = spark.range(2000).select("id", (F.col("id") * 37 % 100 + 1).alias("length"))
     got = packing.pack(pieces, 100, 0, 150).collect()
