@@ -73,7 +73,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.units = Tokenizer(Tokenizer.from_file(path).model)  # no normaliser: units are lower-case already, and between spaces
+        self.units = Tokenizer(self.tokenizer.model)  # the same model in memory; no normaliser: units are lower-case already, and between spaces
         self.units.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # whether a token ends a unit
         self.last[[i for token, i in self.units.get_vocab().items() if token.endswith(self.units.model.end_of_word_suffix)]] = True
